@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar
 from ..functions import values as v
+from ..functions.temporal import is_temporal
 from ..functions.values import BOOL, LONG, NULL, STRING, Val
 from ..sources.graph import NodeTable, PropertyGraph, RelTable
 from ..sources.shared import written
@@ -26,6 +27,7 @@ from . import tree as t
 from .errors import CypherError, ResourceLimitExceeded
 from .parser import AGGREGATES, parse
 
+_TEMPORAL = {"date", "time", "localtime", "datetime", "localdatetime", "duration"}
 #: Hops of an unbounded pattern, and of a bounded one that is unrolled in one plan.
 MOST_HOPS, UNROLLED = 64, 12
 MOST_ITEMS = 200_000
@@ -254,7 +256,10 @@ class Compiler:
             b = self.binding(e.of.name)
             if isinstance(b, (NodeB, RelB)):
                 return Val(c(f"{b.prefix}_p_{e.key}"), b.props[e.key]) if e.key in (b.props or {}) else v.null()
-        return scalar.field(self.ev(e.of), e.key)
+        of = self.ev(e.of)
+        if is_temporal(of.type) and not isinstance(e.of, (t.Var, t.Prop)):
+            return v.let([of], lambda a: scalar.field(a[0], e.key))
+        return scalar.field(of, e.key)
 
     def _Index(self, e: t.Index) -> Val:
         of, at = self.ev(e.of), self.ev(e.at)
@@ -281,7 +286,11 @@ class Compiler:
 
     def _Binary(self, e: t.Binary) -> Val:
         a, b = self.ev(e.left), self.ev(e.right)
-        op = e.op
+        if (is_temporal(a.type) or is_temporal(b.type)) and not all(isinstance(x, (t.Var, t.Prop, t.Lit)) for x in (e.left, e.right)):
+            return v.let([a, b], lambda x: self._binary(e.op, *x))
+        return self._binary(e.op, a, b)
+
+    def _binary(self, op: str, a: Val, b: Val) -> Val:
         if op in ("AND", "OR", "XOR"):
             for x in (a, b):
                 if isinstance(x.const, (int, float, str)) and not isinstance(x.const, bool) or v.is_list(x.type):
@@ -345,7 +354,10 @@ class Compiler:
             return Val(c(b.key), LONG)
         if e.name in ("startnode", "endnode"):
             return self._end_node(e)
-        return scalar.call(e.name, [self.ev(x) for x in e.args])
+        args = [self.ev(x) for x in e.args]
+        if (e.name.split(".")[0] in _TEMPORAL or any(is_temporal(x.type) for x in args)) and not all(isinstance(x, (t.Var, t.Prop, t.Lit, t.Param)) for x in e.args):
+            return v.let(args, lambda a: scalar.call(e.name, a))
+        return scalar.call(e.name, args)
 
     def _end_node(self, e: t.Call) -> Val:
         b = self.scope.get(e.args[0].name) if e.args and isinstance(e.args[0], t.Var) else None
@@ -592,6 +604,7 @@ class Compiler:
 
     def _check_pattern_names(self, patterns: tuple) -> None:
         seen_rels: set[str] = set()
+        seen_nodes = {x.var for p in patterns for x in p.parts if isinstance(x, t.NodePattern)}
         for p in patterns:
             if p.var and p.var in self.scope:
                 raise CypherError("VariableAlreadyBound", p.var)
@@ -600,7 +613,7 @@ class Compiler:
                     if x.var in seen_rels:
                         raise CypherError("RelationshipUniquenessViolation", x.var)
                     seen_rels.add(x.var)
-                    if isinstance(self.scope.get(x.var), NodeB):
+                    if x.var in seen_nodes or isinstance(self.scope.get(x.var), NodeB):
                         raise CypherError("VariableTypeConflict", x.var)
                 if isinstance(x, t.NodePattern) and x.var and (x.var in self.scope and not isinstance(self.scope[x.var], NodeB) or x.var in seen_rels):
                     raise CypherError("VariableTypeConflict", x.var)

@@ -224,6 +224,32 @@ def text_of(v: Val) -> Column:
     raise CypherError("InvalidArgumentValue", "toString of a map", "runtime")
 
 
+def let(args: list[Val], f) -> Val:
+    """f(args) with each argument computed once, however often f's expression uses it."""
+    kinds, parts = [], {}
+    for i, a in enumerate(args):
+        for k, x in (a.fields or {}).items() if a.fields is not None else [(None, a)]:
+            if x.type != NULL and x.fields is None:
+                parts[(i, k)] = (f"_{len(parts)}", x)
+    if not parts:
+        return f(args)
+
+    def body(s: Column) -> Column:
+        new = []
+        for i, a in enumerate(args):
+            if a.fields is not None:
+                fields = {k: Val(s[parts[(i, k)][0]], x.type, x.const) if (i, k) in parts else x for k, x in a.fields.items()}
+                new.append(Val(a.col, a.type, a.const, fields))
+            else:
+                new.append(Val(s[parts[(i, None)][0]], a.type, a.const) if (i, None) in parts else a)
+        r = f(new)
+        kinds.append(r.type)
+        return r.col
+
+    out = F.get(F.transform(F.array(F.struct(*[x.col.alias(n) for n, x in parts.values()])), body), F.lit(0))
+    return Val(out, kinds[0])
+
+
 # --- arithmetic ------------------------------------------------------------------------------
 
 

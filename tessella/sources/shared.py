@@ -11,22 +11,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only a local master without one gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tessella-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
+    return f"file://{_OWN[sc.applicationId]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    at = shared_dir(df.sparkSession).rstrip("/")
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder's URI for one run of an operator."""
+    at = shared_dir(spark).rstrip("/")
     at = at if "://" in at or at.startswith("file:") else f"file://{os.path.abspath(at)}"
-    path = f"{at}/{name}-{uuid.uuid4().hex}"
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, reread: lineage ends here and no executor's loss matters."""
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
