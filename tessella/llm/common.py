@@ -14,37 +14,11 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only a local master without one gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tessella-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder's URI for one run of an operator."""
-    at = shared_dir(spark).rstrip("/")
-    at = at if "://" in at or at.startswith("file:") else f"file://{os.path.abspath(at)}"
-    return f"{at}/{name}-{uuid.uuid4().hex}"
+from ..sources.shared import work_path, written
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, reread: lineage ends here and no executor's loss matters."""
-    path = work_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+__all__ = ["SharedFile", "file_frame", "filesystem", "in_arrow", "partitions", "ship", "slices", "table", "texts_of", "work_path", "written"]
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -117,7 +91,3 @@ class SharedFile:
 def file_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A frame of files to read, one task each up to a few thousand."""
     return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 4000)))
-
-
-def plain(columns: list[str], df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c) for c in columns])
