@@ -17,25 +17,28 @@ over written tables.
 
 Texts are lower case; words are runs of letters, digits and marks other than white space.  Texts
 of one to four words are one shingle.  Null texts and texts without words are each their own class.
-Extra columns are ignored; rows of one doc_id and one text count once.
+Extra columns are ignored.  Rows of one doc_id keep a row each; where their texts
+differ, one of them stands for the doc_id.  Rows of a null doc_id are left out.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 25, 5
-REGISTERS = 128
-#: Of 128 registers, how many must agree for a pair to be verified: 0.8 less four and a half deviations.
+BANDS, ROWS = 28, 6
+REGISTERS = BANDS * ROWS
+#: Of all registers, how many must agree for a pair to be verified: 0.8 less four and a half deviations.
 LEAST_AGREEING = int(REGISTERS * (SIMILAR - 4.5 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5))
 _U = np.uint64
 _WORD_B = pow(0x9E3779B97F4A7C15 | 1, 1, 1 << 64)
@@ -152,42 +155,33 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / (int(a[1].sum()) + int(b[1].sum()) - low)
 
 
-def _bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 12
-    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)
+def read_documents(docs: DataFrame) -> DataFrame:
+    """doc, ka, kb (128 bits of the word sequence), bands (BANDS hashes), sig (the lowest byte of each register).
 
-
-def _bytes(h: np.ndarray, w: np.ndarray) -> bytes:
-    return h.astype("<u8").tobytes() + w.astype("<u4").tobytes()
-
-
-def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, text) of each distinct normalised text, and (doc_id, rep) of all rows; rep is the smallest doc_id."""
-    clean = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "\\s+", " "))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean.alias("text"))
-    keyed = rows.select("doc_id", F.when(F.col("text") == "", F.struct(F.lit(0).cast("long").alias("a"), F.col("doc_id").alias("b"))).otherwise(F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.reverse("text"), F.length("text")).alias("b"))).alias("k"), (F.col("text") == "").alias("empty"))
-    keyed = keyed.select("doc_id", "k.a", "k.b", "empty")
-    first = keyed.groupBy("a", "b", "empty").agg(F.min("doc_id").alias("rep"))
-    members = keyed.join(first, ["a", "b", "empty"]).select("doc_id", "rep", "empty").distinct()
-    return rows, members
-
-
-def signatures(texts: DataFrame) -> DataFrame:
-    """doc, bands (BANDS hashes), sig (the lowest byte of each register), from (doc, text)."""
+    Documents without words have null keys and no signature; rows of a null doc_id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, rows=500, size=2 << 20):
-            bags = [(doc, bag) for doc, t in zip(b.column("doc").to_pylist(), common.texts_of(b)) if len((bag := shingles(word_hashes(t)))[0])]
-            if not bags:
-                continue
-            s = signatures_of([x for _, x in bags])
-            key = np.zeros((len(bags), BANDS), _U)
-            for k in range(ROWS):
-                key = mix(key * _U(0x2545F4914F6CDD1D) + s[:, k : BANDS * ROWS : ROWS])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bags) + 1) * BANDS, pa.int32()), pa.array(key.reshape(-1).view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in bags], pa.int64()), lists, pa.array([x.tobytes() for x in s.astype(np.uint8)], pa.binary())], ["doc", "bands", "sig"])
-
-    return common.in_arrow(texts.select("doc", "text"), run, "doc long, bands array<long>, sig binary")
+            words = [word_hashes(t) for t in common.texts_of(b)]
+            bags = [shingles(w) for w in words]
+            some = [k for k, w in enumerate(words) if len(w)]
+            keys = [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words]
+            bands: list[np.ndarray | None] = [None] * len(words)
+            sigs: list[bytes | None] = [None] * len(words)
+            if some:
+                s = signatures_of([bags[k] for k in some])
+                key = np.zeros((len(some), BANDS), _U)
+                for k in range(ROWS):
+                    key = mix(key * _U(0x2545F4914F6CDD1D) + s[:, k : BANDS * ROWS : ROWS])
+                low = s.astype(np.uint8)
+                for n, k in enumerate(some):
+                    bands[k], sigs[k] = key[n].view(np.int64), low[n].tobytes()
+            ints = [(None, None) if k is None else struct.unpack("<qq", k) for k in keys]
+            cols = [b.column("doc"), pa.array([a for a, _ in ints], pa.int64()), pa.array([c for _, c in ints], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "ka", "kb", "bands", "sig"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL")
+    return common.in_arrow(rows, run, "doc long, ka long, kb long, bands array<long>, sig binary")
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame, least: int = LEAST_AGREEING) -> DataFrame:
@@ -211,10 +205,12 @@ def verified(pairs: DataFrame, texts: DataFrame, share: int = 2000) -> DataFrame
 
     Pairs are gathered by `a` in shares of about `share` partners, each with one copy of a's text, so
     a document with very many partners is worked on by many tasks."""
-    pairs = pairs.withColumn("lot", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / share))).cast("int")) if "n" in pairs.columns else pairs.join(
-        pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a"
-    ).withColumn("lot", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / share)).cast("int"))
+    partners = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(f"n > {share}")
+    pairs = pairs.join(partners, "a", "left").withColumn("lot", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / share))).cast("int"))
+    pairs = common.written(pairs.select("a", "b", "lot"), "pairs")
     t = texts.select("doc", "text")
+    used = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    t = common.written(t.join(used, "doc", "left_semi").dropDuplicates(["doc"]), "texts")  # of the documents in pairs only
     heads = pairs.select("a", "lot").distinct().join(t.withColumnRenamed("doc", "a"), "a").select("a", "lot", F.lit(None).cast("long").alias("b"), "text")
     rest = pairs.select("a", "lot", "b").join(t.withColumnRenamed("doc", "b"), "b").select("a", "lot", "b", "text")
     rows = heads.union(rest).repartition(common.partitions(texts.sparkSession), "a", "lot").sortWithinPartitions("a", "lot", F.asc_nulls_first("b"))
@@ -262,38 +258,39 @@ def components(edges: DataFrame, name: str = "labels", rounds: int = 60) -> Data
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: the smallest doc_id of its component of similarity SIMILAR or more."""
-    spark = docs.sparkSession
-    rows, members = representatives(docs)
-    members = common.written(members, "members")
-    reps = members.where("doc_id = rep AND NOT empty").select(F.col("rep").alias("doc")).distinct()
-    texts = common.written(rows.withColumnRenamed("doc_id", "doc").join(reps, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    sigs = common.written(signatures(texts), "signatures")
+    read = common.written(read_documents(docs), "signatures")
+    # of equal texts the smallest doc_id stands for all; only groups of several meet their members again
+    groups = read.where("ka IS NOT NULL").groupBy("ka", "kb").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("ka", "kb", "rep")
+    groups = common.written(groups, "copies")
+    copies = common.written(read.select("doc", "ka", "kb").join(groups, ["ka", "kb"]).where("doc <> rep").groupBy("doc").agg(F.min("rep").alias("rep")), "copies")
+    sigs = read.where("ka IS NOT NULL").join(copies, "doc", "left_anti").dropDuplicates(["doc"])
+    sigs = common.written(sigs.select("doc", "bands", "sig"), "signatures")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = sigs.select("doc", F.posexplode("bands").alias("band", "h"))
-    hubs = buckets.groupBy("band", "h").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hubs = common.written(buckets.groupBy("band", "h").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
     placed = common.written(buckets.join(hubs, ["band", "h"]), "buckets")
     # each document with the smallest one of its bucket
     star = placed.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     scored = common.written(verified(star, texts), "scored")
-    links = scored.where(F.col("j") >= SIMILAR).select("a", "b")
-    first = common.written(components(links), "components")
+    first = common.written(components(scored.where(F.col("j") >= SIMILAR).select("a", "b")), "components")
     # buckets whose documents are in several components: pairs across them that the metric leaves open
     known = scored.select(F.col("a").alias("hub"), F.col("b").alias("doc"), "j")
     state = placed.join(first, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).join(known, ["hub", "doc"], "left").withColumn("j", F.coalesce("j", F.lit(1.0)))
-    # a document too far from the hub for anything near the hub, in a bucket with no other such one, has nothing open
+    state = common.written(state, "state")
     split = state.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
-    open_ = common.written(state.join(split, ["band", "h"], "left_semi").select("band", "h", "doc", "comp", "hub", "j"), "open")
+    open_ = common.written(state.join(split, ["band", "h"]).select("band", "h", "doc", "comp", "j", (F.col("doc") == F.col("hub")).alias("is_hub")).where("NOT is_hub"), "open")
     x, y = open_.alias("x"), open_.alias("y")
     on = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp"))
-    on &= (F.abs(F.col("x.j") - F.col("y.j")) <= 1 - SIMILAR + 1e-9) & (F.col("x.doc") != F.col("x.hub"))
+    on &= F.abs(F.col("x.j") - F.col("y.j")) <= 1 - SIMILAR + 1e-9
     more = x.join(y, on).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(scored.select("a", "b"), ["a", "b"], "left_anti")
     more = common.written(agreeing(more, sigs), "candidates")
     if not more.isEmpty():
-        late = verified(more, texts).where(F.col("j") >= SIMILAR).select("a", "b")
-        late = common.written(late, "late")
+        late = common.written(verified(more, texts).where(F.col("j") >= SIMILAR).select("a", "b"), "late")
         if not late.isEmpty():
             first = components(late.union(first.select(F.col("doc").alias("a"), F.col("comp").alias("b"))))
-    out = members.join(first.withColumnsRenamed({"doc": "rep", "comp": "class_id"}), "rep", "left")
-    return out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc")).where("doc IS NOT NULL")
+    out = ids.join(copies, "doc", "left").withColumn("rep", F.coalesce("rep", "doc")).join(first.withColumnsRenamed({"doc": "rep", "comp": "class_id"}), "rep", "left")
+    return out.select(F.col("doc").alias("doc_id"), F.coalesce("class_id", "rep").alias("class_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
