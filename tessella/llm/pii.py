@@ -95,6 +95,8 @@ _DOTS = tuple(f" {x} " for x in _DOT.split("|"))
 _BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*|\s*_at_\s*")
 _BRACKET_DOT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*|\s*_dot_\s*")
 _WORDY = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}( ?@ ?| (?:at|arroba) )[A-Za-z0-9-]{{1,63}}(?:(?: (?:{_DOT}) | ?\. ?)[A-Za-z0-9-]{{1,63}}){{1,6}}")
+#: After a bare "at" these begin no host's name.
+_PLAIN_WORD = re.compile(r"(?i)(?:the|a|an|this|that|my|our|your|his|her|its|their) ")
 _WORDY_DOT = re.compile(rf"(?i) (?:{_DOT}) | ?\. ?")
 
 
@@ -173,6 +175,8 @@ def _at_dot(m: re.Match) -> list[tuple[int, int, str]]:
 def _wordy_ok(m: re.Match) -> bool:
     """Bare "at" needs a spelled dot; a bare @ or dot with spaces needs the other one spelled or tight."""
     s, at = m.group(), m.group(1)
+    if "@" not in at and _PLAIN_WORD.match(s, m.end(1) - m.start()):
+        return False
     spelled = re.search(rf"(?i) (?:{_DOT}) ", s[m.end(1) - m.start() :])
     return bool(spelled) or (at != "@" and "@" in at and not re.search(r" \.|\. ", s[m.end(1) - m.start() :]))
 
