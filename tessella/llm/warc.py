@@ -35,8 +35,8 @@ def plan(pages: DataFrame, id_column: str = "page_id", payload: str = "html", ur
     chosen = pages.select(F.col(id_column).cast("long").alias("record"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload")).where(f"record IS NOT NULL AND octet_length(payload) >= {MIN_BYTES}")
     chosen = chosen.groupBy(F.unhex(F.sha1("payload")).alias("sha1")).agg(F.max("record").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "response")
     # ids only meet the chosen digests, so payloads aren't shuffled by a key that one payload may dominate
-    revisits = rows.where(f"total >= {MIN_BYTES}").select("record", "sha1").join(chosen, "sha1").where("record <> response").select("record", F.col("response").alias("refers_to"))
-    return rows.join(revisits.groupBy("record").agg(F.max("refers_to").alias("refers_to")), "record", "left")
+    revisits = rows.where(f"total >= {MIN_BYTES}").select("record", "sha1").join(chosen, "sha1").where("record <> response")
+    return rows.join(revisits.groupBy("record", "sha1").agg(F.max("response").alias("refers_to")), ["record", "sha1"], "left")
 
 
 def chunks(records: DataFrame) -> DataFrame:
