@@ -9,7 +9,19 @@ from pyspark.sql import functions as F
 from .graph import PropertyGraph
 
 
+_KNOWN: dict[tuple, PropertyGraph] = {}
+
+
 def sales_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The catalog of one folder's tables, made once a session; updates make graphs of their own."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = _sales_graph(spark, sf_dir)
+    return _KNOWN[key]
+
+
+def _sales_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     g = PropertyGraph(spark)
     region, nation, customer, supplier, part, orders, lineitem, events, talks = map(read, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations"))
