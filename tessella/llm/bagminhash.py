@@ -200,6 +200,32 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, least: int = LEAST_AGREEING) ->
     return common.in_arrow(rows.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
+#: Has Spark sift the larger side of a join by a Bloom filter of the smaller one, of 4 MB, before the shuffle;
+#: used for up to SIFTED_DOCUMENTS documents, beyond which such a filter lets nearly all through.
+SIFTED_DOCUMENTS = 4_000_000
+_SIFTED = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000", "spark.sql.optimizer.runtime.bloomFilter.numBits": "33554432",
+}
+
+
+def texts_among(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """The texts of the documents in `used` (doc), a row each, as a table; other texts hardly reach the shuffle."""
+    spark = texts.sparkSession
+    if used.count() > SIFTED_DOCUMENTS:
+        return common.written(texts.join(used, "doc", "left_semi"), "texts").dropDuplicates(["doc"])
+    before = {k: spark.conf.get(k) for k in _SIFTED}
+    try:
+        for k, x in _SIFTED.items():
+            spark.conf.set(k, x)
+        # the filter is made only where a side has a condition; this one is true of all
+        found = common.written(texts.join(used.where(F.col("doc") > F.lit(-(2**63)).cast("long")), "doc", "left_semi"), "texts")
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    return found.dropDuplicates(["doc"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, share: int = 2000) -> DataFrame:
     """a, b, j: weighted Jaccard of each pair, computed on whole multisets.
 
@@ -209,8 +235,8 @@ def verified(pairs: DataFrame, texts: DataFrame, share: int = 2000) -> DataFrame
     pairs = pairs.join(partners, "a", "left").withColumn("lot", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / share))).cast("int"))
     pairs = common.written(pairs.select("a", "b", "lot"), "pairs")
     t = texts.select("doc", "text")
-    used = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    t = common.written(t.join(used, "doc", "left_semi").dropDuplicates(["doc"]), "texts")  # of the documents in pairs only
+    used = common.written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "used")
+    t = texts_among(t, used)
     heads = pairs.select("a", "lot").distinct().join(t.withColumnRenamed("doc", "a"), "a").select("a", "lot", F.lit(None).cast("long").alias("b"), "text")
     rest = pairs.select("a", "lot", "b").join(t.withColumnRenamed("doc", "b"), "b").select("a", "lot", "b", "text")
     rows = heads.union(rest).repartition(common.partitions(texts.sparkSession), "a", "lot").sortWithinPartitions("a", "lot", F.asc_nulls_first("b"))
