@@ -13,7 +13,8 @@ execution where such a run makes a partition large.
 
 Null and empty texts have no sentences and stay as they are.  Rows with one doc_id are one document
 at several places: their equal runs at equal places are all first.  Rows of a null doc_id stay whole.
-Extra columns pass through `dedup`.  White space between kept sentences stays as it was.
+Extra columns pass through `dedup`; names with
+a leading underscore are its own.  White space between kept sentences stays as it was.
 """
 
 from __future__ import annotations
@@ -102,6 +103,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, starts (first sentences of its repeated runs), sources (documents that hold them first)."""
     table = run_table(docs)
     first = table.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = common.written(first, "repeated")  # so that the join's hot partitions can be split
     hits = table.join(first, ["h1", "h2"]).where("doc_id > first_doc OR place % 2 = 1")
     return hits.groupBy("doc_id").agg(F.collect_set(F.expr("place div 2").cast("int")).alias("starts"), F.array_sort(F.collect_set("first_doc")).alias("sources"))
 
@@ -128,7 +130,7 @@ def _cut(text: str, starts: list[int]) -> tuple[str, int, list[tuple[int, int]]]
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text cut, and _sentences, _removed (struct start, end; places in the old text), _sources."""
-    found = repeats(docs).withColumnRenamed("doc_id", "_doc")
+    found = repeats(docs).withColumnsRenamed({"doc_id": "_doc", "starts": "_starts", "sources": "_first"})
     rows = docs.join(found, docs["doc_id"].cast("long") == found["_doc"], "left").drop("_doc")
     names = docs.columns
     spans = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
@@ -137,13 +139,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
             new, count, gone = [], [], []
-            for t, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist()):
+            for t, starts in zip(b.column("text").to_pylist(), b.column("_starts").to_pylist()):
                 kept, n, removed = _cut(t, starts or []) if t else (t, 0, [])
                 new.append(kept)
                 count.append(n)
                 gone.append([{"start": s, "end": e} for s, e in removed])
             cols = [pa.array(new, pa.string()) if n == "text" else b.column(n) for n in names]
-            sources = [x or [] for x in b.column("sources").to_pylist()]
+            sources = [x or [] for x in b.column("_first").to_pylist()]
             more = [pa.array(count, pa.int64()), pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(sources, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*cols, *more], [*names, "_sentences", "_removed", "_sources"])
 
