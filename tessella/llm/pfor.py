@@ -55,7 +55,8 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
     above = bits > width[:, None]
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        planes = ((diff[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+        own = diff[rows].astype("<u4" if w > 16 else "<u2")  # the low bits are all that is packed
+        planes = np.unpackbits(own.view(np.uint8).reshape(len(rows), BLOCK, -1), axis=2, bitorder="little")[:, :, : int(w)]
         body = np.packbits(planes.reshape(len(rows), BLOCK * int(w)), axis=1, bitorder="little")
         for k, r in enumerate(rows):
             at = np.flatnonzero(above[r])
@@ -76,10 +77,9 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
         if w:
             body = raw[(starts[rows] + _HEAD.itemsize)[:, None] + np.arange(size)]
             planes = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            value = np.zeros((len(rows), BLOCK), np.uint32)
-            for b in range(int(w)):
-                value |= planes[:, :, b].astype(np.uint32) << np.uint32(b)
-            out[rows] = value
+            full = np.zeros((len(rows), BLOCK, 32 if w > 16 else 16), np.uint8)
+            full[:, :, : int(w)] = planes
+            out[rows] = np.packbits(full, axis=2, bitorder="little").view("<u4" if w > 16 else "<u2")[:, :, 0]
         else:
             out[rows] = 0
     for r in np.flatnonzero(head["exceptions"]):
