@@ -1,20 +1,22 @@
 """Operator 1: substring dedup over sliding sentence spans.
 
-A text splits into sentences after . ! ? before white space, and at line ends.  A sentence of more
-than LONG_WORDS words splits further, after each word whose checksum is divisible by BREAK, so that
-the pieces of a passage don't depend on what stands before it.  From every sentence a run starts:
-the fewest consecutive sentences, RUN at least, that hold MIN_WORDS words or more.  Runs are hashed
-to 128 bits (lower case, single spaces) and joined over all documents.  The first occurrence of a
-run, by document and place, stays; the sentences covered by any other occurrence go.
+A text splits into sentences after . ! ? before white space, and at line ends.  Sentences split into
+pieces of at most WINDOW words: of every WINDOW consecutive words of a sentence, one ends a piece after
+the word of the smallest checksum (the last one of equals), so that the pieces of a passage depend on
+what stands before and after it in its first and last WINDOW - 1 words alone.  From every piece a run starts:
+the fewest consecutive pieces, RUN at least, that hold MIN_WORDS words or more.  Any passage of
+4 * WINDOW + MIN_WORDS - 2 words (50) or more holds a whole run of its own pieces, whatever surrounds it.
+Runs are hashed to 128 bits (lower case, single spaces) and joined over all documents.  The first
+occurrence of a run, by document and place, stays; the pieces covered by any other occurrence go.
 
 Only hashes that occur at least twice are joined back, found by map-side counts, so a run that is in
 a third of the documents is one row on its side of the join; the other side is split by adaptive
 execution where such a run makes a partition large.
 
-Null and empty texts have no sentences and stay as they are.  Rows with one doc_id are one document
+Null and empty texts have no pieces and stay as they are.  Rows with one doc_id are one document
 at several places: their equal runs at equal places are all first.  Rows of a null doc_id stay whole.
 Extra columns pass through `dedup`; names with
-a leading underscore are its own.  White space between kept sentences stays as it was.
+a leading underscore are its own.  White space between kept pieces stays as it was.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,39 +35,53 @@ from pyspark.sql import types as T
 
 from . import common
 
-RUN, MIN_WORDS, LONG_WORDS, BREAK = 3, 20, 24, 8
+RUN, MIN_WORDS, WINDOW = 3, 20, 8
+MEMO_WORDS = 400_000
 _END = re.compile(r"[.!?…]+[\"')\]»”]*\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
+_CHECKSUMS: dict[str, int] = {}
+
+
+def _checksums(words: list[str]) -> np.ndarray:
+    memo = _CHECKSUMS
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    for w in {*words}.difference(memo):
+        memo[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+
+
 def sentences(text: str) -> list[tuple[int, str, int]]:
-    """(end, normalised sentence, words); each starts where the one before ends, and holds a word."""
-    out: list[tuple[int, str, int]] = []
-    at = 0
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    for end in ends:
-        words = text[at:end].lower().split()
-        if not words:
-            continue  # white space goes with the sentence that follows
-        if len(words) <= LONG_WORDS:
-            out.append((end, " ".join(words), len(words)))
-        else:
-            part = []
-            for m, w in zip(_WORD.finditer(text, at, end), text[at:end].split()):
-                part.append(w.lower())
-                if zlib.crc32(part[-1].encode("utf-8", "surrogatepass")) % BREAK == 0 or m.end() == end:
-                    out.append((m.end(), " ".join(part), len(part)))
-                    part = []
-            if part:
-                out.append((end, " ".join(part), len(part)))
-        at = end
+    """(end, normalised piece, words); each starts where the one before ends, and holds a word."""
+    words = text.lower().split()
+    if not words:
+        return []
+    ends = [m.end() for m in _WORD.finditer(text)]
+    places = np.array(ends)
+    stops = np.array([m.end() for m in _END.finditer(text)], np.int64)
+    last = np.zeros(len(words), bool)
+    last[np.searchsorted(places, stops[stops >= places[0]])] = True  # white space before the first word goes with it
+    last[-1] = True
+    if len(words) >= WINDOW:
+        number = np.cumsum(last) - last
+        whole = np.flatnonzero(number[WINDOW - 1 :] == number[: 1 - WINDOW])  # windows within a sentence
+        if len(whole):
+            keys = (_checksums(words) << 31) - np.arange(len(words))  # of equals, the last is the smallest
+            least = keys[: 1 - WINDOW].copy()
+            for k in range(1, WINDOW):
+                np.minimum(least, keys[k : k + len(least)], out=least)
+            last[-least[whole] & (1 << 31) - 1] = True
+    out, at = [], 0
+    for k in (np.flatnonzero(last) + 1).tolist():
+        out.append((ends[k - 1], " ".join(words[at:k]), k - at))
+        at = k
     return out
 
 
 def runs(parts: list[tuple[int, str, int]]) -> Iterator[tuple[int, int]]:
-    """(first, end) sentence numbers of each run."""
+    """(first, end) piece numbers of each run."""
     j = total = 0
     for i, (_, _, n) in enumerate(parts):
         while j < len(parts) and (j - i < RUN or total < MIN_WORDS):
@@ -79,7 +97,7 @@ _RUN_NAMES = ["doc_id", "place", "h1", "h2"]
 
 
 def run_table(docs: DataFrame) -> DataFrame:
-    """doc_id, place (2 * first sentence, 1 more if the document has the run before), h1, h2."""
+    """doc_id, place (2 * first piece, 1 more if the document has the run before), h1, h2."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +105,11 @@ def run_table(docs: DataFrame) -> DataFrame:
             doc_ids, places, high, low = [], [], [], []
             for doc, t in zip(b.column("doc_id").to_pylist(), common.texts_of(b)):
                 parts, seen = sentences(t), set()
+                pieces = [p[1].encode("utf-8", "surrogatepass") for p in parts]
+                at = [0, *accumulate(len(p) + 1 for p in pieces)]
+                joined = memoryview(b"\n".join(pieces))
                 for i, j in runs(parts):
-                    h = xxhash.xxh3_128_intdigest("\n".join([p[1] for p in parts[i:j]]).encode("utf-8", "surrogatepass"))
+                    h = xxhash.xxh3_128_intdigest(joined[at[i] : at[j] - 1])
                     doc_ids.append(doc)
                     places.append(2 * i + (h in seen))
                     high.append((h >> 64) - (1 << 63))
@@ -100,7 +121,7 @@ def run_table(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, starts (first sentences of its repeated runs), sources (documents that hold them first)."""
+    """doc_id, starts (first pieces of its repeated runs), sources (documents that hold them first)."""
     table = run_table(docs)
     first = table.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = common.written(first, "repeated")  # so that the join's hot partitions can be split
@@ -109,7 +130,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def _cut(text: str, starts: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-    """(what stays, sentences, removed character ranges)."""
+    """(what stays, pieces, removed character ranges)."""
     parts = sentences(text)
     first = set(starts)
     gone = bytearray(len(parts))
@@ -153,7 +174,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_spans, removed_chars, kept_chars, kept_sha256, spans (start:end), source_docs."""
+    """doc_id, n_sentences (pieces), n_spans, removed_chars, kept_chars, kept_sha256, spans (start:end), source_docs."""
     out = dedup(docs.select("doc_id", "text"))
     size = F.aggregate("_removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select(

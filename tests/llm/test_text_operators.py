@@ -64,6 +64,29 @@ def test_substring_against_brute_force(spark):
     assert substring.report(frame(spark, [])).collect() == []
 
 
+def test_every_repeated_passage_of_51_words_is_found(spark):
+    """Passages of 51 words behind many beginnings: each 51-word window seen before, by words, loses words; half of them at least."""
+    rng, texts, lost = random.Random(3), [], []
+    for n in range(150):
+        w = words(51, 1000 + n).split()
+        for cut in ([17, 34], [24], [], [9, 21, 40], [25])[n % 5]:
+            w[cut - 1] += "."
+        passage = " ".join(w)
+        texts += [words(rng.randint(0, 30), 5000 + n) + rng.choice([". ", " ", "\n"]) + passage + rng.choice([" ", ". "]) + words(9, 7000 + n), rng.choice(["As stated, ", "Note: ", "", "And so "]) + passage + rng.choice(["", " " + words(7, 9000 + n)])]
+    seen, repeated = set(), []
+    for t in texts:
+        w = t.lower().replace(".", "").split()
+        grams = {tuple(w[k : k + 51]) for k in range(len(w) - 50)}
+        repeated.append(bool(grams & seen))
+        seen |= grams
+    assert repeated == [False, True] * 150
+    for r in substring.dedup(frame(spark, texts)).collect():
+        gone = len(texts[r.doc_id].split()) - len(r.text.split())
+        assert (gone > 0) == repeated[r.doc_id], texts[r.doc_id]
+        lost += [gone] if gone else []
+    assert min(lost) >= substring.MIN_WORDS and sum(lost) / len(lost) > 30
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab .!\n?é", max_size=300))
 def test_sentences_cover_the_text(t):
