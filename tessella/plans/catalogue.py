@@ -96,7 +96,7 @@ CYPHER: dict[str, tuple[str, str]] = {
         "SELECT conv_id AS c, CAST(4 AS BIGINT) AS hops FROM conversations WHERE turn = 5",
     ),
     "bound_relationship": (
-        "MATCH (:Customer)-[r:PLACED]->() WITH r LIMIT 1000000 MATCH (c:Customer {c_mktsegment: 'MACHINERY'})-[r]->(o:Order) RETURN o.o_orderstatus AS s, count(*) AS n",
+        "MATCH (:Customer)-[r:PLACED]->() WITH r MATCH (c:Customer {c_mktsegment: 'MACHINERY'})-[r]->(o:Order) RETURN o.o_orderstatus AS s, count(*) AS n",
         "SELECT o_orderstatus AS s, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' GROUP BY 1",
     ),
     "start_end_node": (

@@ -32,3 +32,10 @@ def test_query(spark, con, name):
     want = con.sql(SQL[name]).to_arrow_table()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert _rows(got) == _rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_bound_relationship_reads_every_row(spark):
+    """No limit in the plan that its SQL lacks."""
+    plan = QUERIES["bound_relationship"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Limit" not in plan
