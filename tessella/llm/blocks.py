@@ -172,7 +172,7 @@ _TABLE = 1 << 16
 
 
 def page_vectors(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: tag path, hashed words, counts."""
+    """A row for each block: tag path, all its words hashed (shares, from 16 words on), counts."""
     n = len(blocks)
     out = np.zeros((n, PATH + WORDS + COUNTS), np.float32)
     for k, b in enumerate(blocks):
@@ -180,12 +180,12 @@ def page_vectors(blocks: list[Block]) -> np.ndarray:
         if b.path:
             out[k, _slot("last:" + next(t for t in reversed(b.path) if t[0] == "t"))] = 1
         words = b.text.lower().split()
-        for w in words[:12] + words[-4:]:
-            out[k, PATH + xxhash.xxh32_intdigest(w) % WORDS] += 0.25
+        slots = np.bincount([xxhash.xxh32_intdigest(w) % WORDS for w in words], minlength=WORDS)
+        out[k, PATH : PATH + WORDS] = slots * (4 / max(len(words), 16))
         size = len(b.text)
         ends = b.text.count(". ") + b.text.count("? ") + b.text.count("! ") + (b.text[-1] in ".!?")
         out[k, PATH + WORDS :] = (
-            min(len(words), 60) / 30, np.log1p(size) / 6, b.linked / size, min(ends, 5) / 2, b.text[-1] in ".!?…", len(words) < 4, (k + 1) / n, "©" in b.text or "(c)" in b.text.lower(), sum(map(str.isdigit, b.text[:80])) / min(size, 80), b.text[:1].isupper(),
+            min(len(words), 60) / 30, np.log1p(size) / 6, b.linked / size, min(ends, 5) / 2, b.text[-1] in ".!?…", len(words) < 4, (k + 1) / n, "©" in b.text or "(c)" in b.text.lower(), sum(map(str.isdigit, b.text)) / size, b.text[:1].isupper(),
         )
     np.minimum(out, 2, out=out)
     return out
