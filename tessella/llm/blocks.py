@@ -207,10 +207,11 @@ def new_weights(seed: int) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in out.items()}
 
 
-def _run(x: np.ndarray, mask: np.ndarray, w: dict, d: str, keep: list | None = None) -> np.ndarray:
-    """Hidden states (time, batch, HIDDEN) in one direction; padded steps pass the state through."""
+def _run(x: np.ndarray, mask: np.ndarray, w: dict, d: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
+    """Hidden states (time, batch, HIDDEN) in one direction; padded steps pass the state through.
+    `state` holds h and c before the first step, and after the last one when done."""
     steps, batch = x.shape[:2]
-    h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+    h, c = state or (np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32))
     out = np.zeros((steps, batch, HIDDEN), np.float32)
     z_all = (x.reshape(steps * batch, -1) @ w[f"x{d}"] + w[f"b{d}"]).reshape(steps, batch, -1)
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -224,6 +225,8 @@ def _run(x: np.ndarray, mask: np.ndarray, w: dict, d: str, keep: list | None = N
             keep.append((t, i, f, o, g, c, tc, h))
         h, c = np.where(m, o * tc, h), np.where(m, c2, c)
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -271,29 +274,35 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def _long_page(x: np.ndarray, w: dict, longest: int) -> np.ndarray:
+    """Probabilities of a page's blocks, `longest` at a time; each direction carries its state on, and leaves one term a block."""
+    z = x @ w["out"][2 * HIDDEN :, 0] + w["bias"]
+    starts = range(0, len(x), longest)
+    for d, first in (("f", 0), ("b", HIDDEN)):
+        state: list = []
+        for a in starts if d == "f" else reversed(starts):
+            part = x[a : a + longest, None]
+            z[a : a + longest] += _run(part, np.ones(part.shape[:2], bool), w, d, state=state)[:, 0] @ w["out"][first : first + HIDDEN, 0]
+    return _sigmoid(z)
+
+
 def labels_of(pages: list[np.ndarray], w: dict, cells: int = 16_384, longest: int = 2048) -> list[np.ndarray]:
     """For each page, which blocks are main text.  Pages of similar length run together; one of more
-    than `longest` blocks runs in windows that overlap by a half, each deciding its middle."""
+    than `longest` blocks runs alone in parts, with the state carried from part to part."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     jobs = []
     for k, p in enumerate(pages):
-        if not len(p):
-            continue
-        out[k] = np.zeros(len(p), bool)
-        if len(p) <= longest:
-            jobs.append((len(p), k, 0, 0, len(p)))
-        else:
-            half = longest // 2
-            for a in range(0, len(p) - half, half):
-                b = min(len(p), a + longest)
-                jobs.append((b - a, k, a, a if a == 0 else a + half // 2, b if b == len(p) else b - half // 2))
+        if len(p) > longest:
+            out[k] = _long_page(p, w, longest) >= 0.5
+        elif len(p):
+            jobs.append((len(p), k))
     jobs.sort()
     while jobs:
         n = max(1, min(len(jobs), cells // jobs[-1][0]))
         part, jobs = jobs[-n:], jobs[:-n]
-        p = probabilities(*_padded([pages[k][a : a + size] for size, k, a, _, _ in part]), w)
-        for c, (_, k, a, first, end) in enumerate(part):
-            out[k][first:end] = p[first - a : end - a, c] >= 0.5
+        p = probabilities(*_padded([pages[k] for _, k in part]), w)
+        for c, (size, k) in enumerate(part):
+            out[k] = p[:size, c] >= 0.5
     return out
 
 

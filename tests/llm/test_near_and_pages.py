@@ -162,6 +162,21 @@ def test_long_pages_run_in_windows():
     assert len(blocks.labels_of([x], w, longest=64)[0]) == 700 and blocks.labels_of([x[:0]], w)[0].shape == (0,)
 
 
+def test_long_pages_are_read_as_a_whole():
+    """Parts of any size give the labels of one run; with weights that remember, the first and last block reach all others."""
+    rng = np.random.default_rng(2)
+    w = {k: v * 2 for k, v in blocks.new_weights(5).items()}
+    for d in "fb":
+        w[f"b{d}"][blocks.HIDDEN : 2 * blocks.HIDDEN] = 9
+    for k in range(6):
+        x = (rng.random((700, blocks.PATH + blocks.WORDS + blocks.COUNTS)) < 0.1).astype(np.float32)
+        x[0 if k % 2 else -1] *= 9
+        want = blocks.labels_of([x], w, longest=700)[0]
+        assert 0 < want.sum() < 700
+        for longest in (32, 64, 99, 699):
+            assert np.array_equal(blocks.labels_of([x], w, longest=longest)[0], want), longest
+
+
 def test_page_frames(spark):
     page = "<html><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><article><h1>A title here</h1><p>Some longer text that stands in the article. And more of it.</p></article><footer>&copy; x</footer></body></html>"
     df = spark.createDataFrame([(1, "u", page, "t"), (2, None, None, "t"), (3, "u", "", "t"), (4, "u", page, "t"), (5, "u", "<p", "t")], "page_id long, url string, html string, text string")
