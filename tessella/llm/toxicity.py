@@ -2,7 +2,7 @@
 
 A character language model (four-grams over 26 letters and the word end, counted over all
 documents) and a channel of leetspeak, inserted separators, spacing and repetition span a lattice
-for every suspicious token; Viterbi decoding restores the likeliest letters.  Restored and written
+for every suspicious token; Viterbi decoding, exact over all contexts of three letters, restores the likeliest.  Restored and written
 words, and their first 4 to 6 letters, are the features of a logistic model.
 
 The model is fitted on at most TRAIN_DOCS labelled documents (those of the smallest doc_id hashes),
@@ -35,7 +35,6 @@ TRAIN_DOCS, FEATURES, LEAST_DOCS = 8000, 3000, 3
 MEMO_TOKENS = 400_000
 LETTERS = 27  # 0 is the word end
 GRAMS = LETTERS**4
-BEAM = 24
 
 # --- language model --------------------------------------------------------------------------
 
@@ -117,33 +116,73 @@ def _options(c: str, n: int) -> list[tuple[tuple[int, ...], float]]:
     return [((0,), 1.0)]
 
 
-def restore(token: str, logp: np.ndarray, spaced: bool = False) -> str:
-    """The likeliest words behind a token, a to z; spaced: word ends may also fall between its characters."""
-    beam, width = {0: (0.0, "")}, BEAM if len(token) <= 64 else 4
+def _step(live: dict[int, tuple[float, tuple]], ways: list[tuple[tuple[int, ...], float]], logp: np.ndarray) -> dict[int, tuple[float, tuple]]:
+    """The best path into each context after one of the ways (letters, price)."""
     lp, cube = logp.item, LETTERS**3
+    new: dict[int, tuple[float, tuple]] = {}
+    for way, price in ways:
+        for context, (score, path) in live.items():
+            k, s, t = context, score - price, path
+            for x in way:
+                if x == 0 and k % LETTERS == 0:
+                    continue  # one word end in a row
+                s += lp(k * LETTERS + x)
+                k = (k * LETTERS + x) % cube
+                t = (t, x)
+            if k not in new or new[k][0] < s:
+                new[k] = (s, t)
+    return new
+
+
+def _wide_step(live: dict[int, tuple[float, tuple]], ways: list[tuple[tuple[int, ...], float]], logp: np.ndarray) -> dict[int, tuple[float, tuple]]:
+    """The same in arrays, for many contexts or ways."""
+    cube = LETTERS**3
+    contexts, paths = list(live), [t for _, t in live.values()]
+    k0, s0 = np.fromiter(live, np.int64, len(live)), np.fromiter((s for s, _ in live.values()), np.float64, len(live))
+    best, source, chosen = np.full(cube, -np.inf), np.zeros(cube, np.int64), np.zeros(cube, np.int64)
+    for number, (way, price) in enumerate(ways):
+        k, s = k0, s0 - price
+        for x in way:
+            more = (k % LETTERS != 0) | (x != 0)
+            s = np.where(more, s + logp[k * LETTERS + x], s)
+            k = np.where(more, (k * LETTERS + x) % cube, k)
+        at = np.argsort(s, kind="stable")  # the best one of a context is written last
+        k, s = k[at], s[at]
+        top, from_ = np.full(cube, -np.inf), np.zeros(cube, np.int64)
+        top[k], from_[k] = s, at
+        better = top > best
+        best[better], source[better], chosen[better] = top[better], from_[better], number
+    new = {}
+    for k in np.flatnonzero(best > -np.inf).tolist():
+        t, c = paths[source[k]], contexts[source[k]]
+        for x in ways[chosen[k]][0]:
+            if x or c % LETTERS:
+                t, c = (t, x), c * LETTERS + x
+        new[k] = (float(best[k]), t)
+    return new
+
+
+def restore(token: str, logp: np.ndarray, spaced: bool = False) -> str:
+    """The likeliest words behind a token, a to z, exact over all contexts; spaced: word ends may also fall between its characters."""
+    live: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
     at = 0
     while at < len(token):
         n = 1
         while at + n < len(token) and token[at + n] == token[at]:
             n += 1
-        new: dict[int, tuple[float, str]] = {}
+        ways = []
         for letters, cost in _options(token[at], n):
-            for context, (score, text) in beam.items():
-                ways = ((letters, cost),) if not spaced or not at or not letters else ((letters, cost), ((0, *letters), cost + _END_COST))
-                for way, price in ways:
-                    k, s, t = context, score - price, text
-                    for x in way:
-                        if x == 0 and k % LETTERS == 0:
-                            continue
-                        s += lp(k * LETTERS + x)
-                        k = (k * LETTERS + x) % cube
-                        t += chr(96 + x) if x else " "
-                    if k not in new or new[k][0] < s:
-                        new[k] = (s, t)
-        beam = dict(sorted(new.items(), key=lambda x: -x[1][0])[:width])
+            ways.append((letters, cost))
+            if spaced and at and letters and letters[0]:
+                ways.append(((0, *letters), cost + _END_COST))
+        live = (_step if len(live) * len(ways) <= 2000 else _wide_step)(live, ways, logp)
         at += n
-    best = max((s + (lp(k * LETTERS) if k % LETTERS else 0.0), t) for k, (s, t) in beam.items())
-    return best[1].strip()
+    score, path = max(((s + (logp.item(k * LETTERS) if k % LETTERS else 0.0), t) for k, (s, t) in live.items()), key=lambda x: x[0])
+    out = []
+    while path:
+        path, x = path
+        out.append(chr(96 + x) if x else " ")
+    return "".join(reversed(out)).strip()
 
 
 _TRIM = re.compile(r"^[^\w@$!|+€£]+|[^\w@$|+€£*]+$")

@@ -245,6 +245,40 @@ def test_toxicity(spark, tox):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].predicted == 0}
 
 
+def exact_restore(token, logp, spaced):
+    """Every context kept, paths as text."""
+    live = {"": 0.0}
+    for run in re.finditer(r"(.)\1*", token):
+        new = {}
+        for text, score in live.items():
+            for letters, cost in toxicity._options(run.group(1), len(run.group())):
+                for way, price in [(letters, cost)] + ([((0, *letters), cost + toxicity._END_COST)] if spaced and run.start() and letters else []):
+                    t, s = text, score - price
+                    for x in way:
+                        if x or t[-1:] not in ("", " "):
+                            a, b, c = (max(0, ord(y) - 96) for y in t[-3:].rjust(3))
+                            s += float(logp[((a * 27 + b) * 27 + c) * 27 + x])
+                            t += chr(96 + x) if x else " "
+                    key = t[-3:].rjust(3)
+                    if key not in new or new[key][0] < s:
+                        new[key] = (s, t)
+        live = {t: s for s, t in new.values()}
+    return max((s + (float(logp[toxicity.LETTERS * sum(max(0, ord(y) - 96) * 27**n for n, y in enumerate(reversed(t[-3:])))]) if t and t[-1] != " " else 0.0), t) for t, s in live.items())[1].strip()
+
+
+def test_restoring_is_exact_at_any_length():
+    rng = random.Random(8)
+    vocabulary = words(400, 12).split() + ["idiot", "stupid"]
+    logp = toxicity.log_probabilities(toxicity.gram_counts([" ".join(rng.choices(vocabulary, k=60)) for _ in range(200)]))
+    for n in (2, 5, 15, 15, 15, 40, 40, 40):
+        joined = "".join(rng.choices(vocabulary, k=n))
+        joined = "".join(rng.choice({"i": "1!*", "o": "0*", "e": "3*", "a": "4*", "s": "$5"}.get(c, c)) if rng.random() < 0.5 else c for c in joined)
+        assert toxicity.restore(joined, logp, spaced=True) == exact_restore(joined, logp, True), joined
+    for token in ("st*p#d", "*#%", "a.b-c_d", "i*d#i%o?t" * 2, "1d10t..st", "mmmoorroonn"):
+        for spaced in (False, True):
+            assert toxicity.restore(token, logp, spaced) == exact_restore(token, logp, spaced), token
+
+
 def test_toxicity_without_labels(spark, tox):
     docs, labels, _ = tox
     assert {r.predicted for r in toxicity.score(docs.limit(3), labels.limit(0)).collect()} == {0}
