@@ -34,7 +34,8 @@ _TAG = re.compile(
     r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S
 )
 _NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN_STYLE = re.compile(r"(?:^|[\s\"'/])hidden(?:$|[\s=/])|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none(?![\w-])", re.I)
 _SPLIT_NAME = re.compile(r"[^a-z0-9]+")
 _RAW = frozenset("script style template noscript title textarea iframe noframes xmp svg math select object head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,10 +63,22 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether there is an attribute named hidden, or a style without display."""
+    low = attributes.lower()
+    if "hidden" not in low and "style" not in low:
+        return False
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        if name.lower() == "hidden" or name.lower() == "style" and _NO_DISPLAY.search(html.unescape(a or b or c)):
+            return True
+    return False
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's shown leaf blocks in order."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    unseen: list[int] = []  # places in the stack of elements that aren't shown
     parts: list[str] = []
     linked = links = 0
     at = 0
@@ -84,7 +97,7 @@ def leaf_blocks(page: str) -> list[Block]:
         k = page.find("<", at)
         if k < 0:
             k = n
-        if k > at:
+        if k > at and not unseen:
             parts.append(page[at:k])
             if links:
                 linked += k - at
@@ -92,7 +105,8 @@ def leaf_blocks(page: str) -> list[Block]:
             break
         m = _TAG.match(page, k)
         if m is None:
-            parts.append("<")  # a bare sign
+            if not unseen:
+                parts.append("<")  # a bare sign
             at = k + 1
             continue
         at = m.end()
@@ -110,13 +124,15 @@ def leaf_blocks(page: str) -> list[Block]:
                         flush()
                     links -= sum(1 for x, _ in stack[d:] if x == "a")
                     del stack[d:]
+                    while unseen and unseen[-1] >= d:
+                        unseen.pop()
                     break
                 if tag in _INLINE and stack[d][0] not in _INLINE:
                     break
             continue
         attributes = m.group(3) if m.group(3) is not None else m.group(6) or ""
-        if tag in _RAW or tag not in _VOID and len(attributes) > 5 and _HIDDEN_STYLE.search(attributes):
-            end = _skip(page, at, tag)
+        if tag in _RAW:
+            end = at if tag in ("svg", "math") and page[at - 2 : at] == "/>" else _skip(page, at, tag)
             if tag not in _INLINE:
                 flush()
             at = end
@@ -132,10 +148,15 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[d][0] in close:
                     links -= sum(1 for x, _ in stack[d:] if x == "a")
                     del stack[d:]
+                    while unseen and unseen[-1] >= d:
+                        unseen.pop()
                     break
                 if stack[d][0] in _SCOPE:
                     break
-        if len(stack) < 4 * DEEP:
+        hidden = len(attributes) > 5 and _hidden(attributes)
+        if hidden:
+            unseen.append(len(stack))
+        if hidden or len(stack) < 4 * DEEP:
             stack.append((tag, _tokens(tag, attributes) if len(attributes) < 2000 else ("t:" + tag,)))
             links += tag == "a"
     flush()
@@ -153,7 +174,7 @@ def _skip(page: str, at: int, tag: str) -> int:
     for m in _edges(tag).finditer(page, at):
         if m.group(1):
             depth -= 1
-        elif tag not in ("script", "style", "textarea", "title"):
+        elif tag not in ("script", "style", "textarea", "title") and not (tag in ("svg", "math") and m.group().endswith("/>")):
             depth += 1
         if not depth:
             return m.end()

@@ -119,6 +119,20 @@ def test_leaf_blocks():
     assert found[1].path[-2:] == ("n:post", "t:p") and found[0].linked == 4
 
 
+@pytest.mark.parametrize(
+    "page, shown",
+    [
+        ('<article data-title="The hidden cost"><p>a</p></article><p class="hidden md:block">b</p><p>c <a title="a hidden gem">d</a></p>', ["a", "b", "c d"]),
+        ("<p title='x display:none'>a</p><p style='color:red; DISPLAY : none'>no</p><p hidden=''>no</p><p id=x hidden>no</p><p>b", ["a", "b"]),
+        ("<p hidden>no <b>no</b><p>a<ul><li style='display:none'>no<li>b</ul>c", ["a", "b", "c"]),
+        ("<div hidden><div>no</div><p>no<svg></svg>no 1 < 2</div>a<p>b <span hidden>no<br>no</span> c</p><p>d<i hidden>no</p>e", ["a", "b c", "d", "e"]),
+        ('<p>a<svg class="i"/> b<p>c<svg><svg/><path/>no</svg> d<math /> e', ["a", "b", "c", "d", "e"]),
+    ],
+)
+def test_only_what_is_hidden_goes(page, shown):
+    assert [b.text for b in blocks.leaf_blocks(page)] == shown
+
+
 def test_model_reads_layouts():
     """Held-out sample pages: blocks labelled as they were written."""
     w, rng, hits, total = blocks.trained(), random.Random(12345), 0, 0
