@@ -7,7 +7,8 @@ with a cut one, so windows are full.  Only what is left at the end of a partitio
 Windows of one tier form step groups of GROUP_TOKENS ids each, so all steps carry the same load.
 
 The packing is local to an input partition: no shuffle, whatever the sizes or keys.
-Null texts are empty (one end id).  Repeated rows are packed each; extra columns are ignored.
+Null texts are empty (one end id).  Repeated rows are packed each, and so are rows of a null doc_id, which
+the pieces keep.  An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ of the block's bit lengths that makes the block smallest.  After the blocks come
 ids and lengths, the blocks' start offsets, and a footer that gives their sizes.
 
 Null texts are empty (only the end id).  Rows may repeat: equal ids follow each other, by text hash.
-Extra columns are ignored; an empty table gives no rows.
+Rows of a null doc_id have no place in the order and are left out.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -2,8 +2,9 @@
 
 Neither tokenizer's splitting ever joins what a single space or line end separates, so a text's ids
 are the ids of its chunks in turn.  A new chunk of letters with punctuation behind goes to the
-library's BPE model as it would after normalising and splitting; any other new chunk, and texts
-in which white space stands next to white space, go through the library's whole chain.
+library's BPE model as it would after normalising and splitting; any other new chunk, texts in
+which white space stands next to white space, and texts that hold the string of an added token
+(which the library gives that token's id) go through the library's whole chain.
 """
 
 from __future__ import annotations
@@ -102,9 +103,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        #: Strings that the library cuts out of a text before anything else.
+        self.added = tuple(x["content"] for x in spec["added_tokens"])
         before = spec["pre_tokenizer"]
         #: White space only separates: every chunk stands alone.
         self.drops_space = before["type"] == "Sequence" and before["pretokenizers"][0].get("behavior") == "Removed"
@@ -169,7 +171,9 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         get, out = self.memo.__getitem__, []
         for t in texts:
-            if self.drops_space:
+            if any(x in t for x in self.added):
+                out.append(self._whole(t))
+            elif self.drops_space:
                 out.append(b"".join(map(get, t.replace("\n", " ").split(" "))))
             elif _single_spaced(t):
                 first, *rest = t.replace("\n", " \n").split(" ")
