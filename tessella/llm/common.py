@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import work_path, written
 
-__all__ = ["SharedFile", "file_frame", "filesystem", "in_arrow", "partitions", "ship", "slices", "table", "texts_of", "work_path", "written"]
+__all__ = ["SharedFile", "file_frame", "filesystem", "fresh", "in_arrow", "partitions", "ship", "slices", "table", "texts_of", "work_path", "written"]
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken, in any case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to executors unless PYTHONPATH has it already."""
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(spark.sparkContext, "_tessella", False):

@@ -9,9 +9,14 @@ bound are aligned: a banded edit distance of the whole item against the best pie
 The budget is e = floor(RATE * L), less where the bound would fall under one q-gram; items shorter
 than Q must occur exactly, between word ends.  Items without letters or digits match nothing.
 
-The benchmark is broadcast in blocks of at most BLOCK_CHARS characters, each scanned against all
-documents, so what is sent is bounded however large the benchmark is.  Null and empty texts match
-nothing.  Repeated rows and repeated items are each reported; extra columns pass through `clean`.
+The benchmark is broadcast in blocks of at most BLOCK_CHARS characters (a longer item is one alone),
+each scanned against all documents.  With several blocks the matches of each are written before the
+next block is sent and the block is given up, so driver and workers hold one block at a time however
+large the benchmark is.
+
+Null and empty texts match nothing.  Repeated rows, and benchmark rows that share an item_id, are each
+reported; benchmark rows of a null item_id or text match nothing.  Empty tables give no rows or no
+matches.  Extra columns of any name pass through `clean`.
 """
 
 from __future__ import annotations
@@ -122,6 +127,8 @@ class Benchmark:
                 self.codes.append(codes)
             elif len(codes):
                 self.short.append((item, "".join(map(chr, codes))))
+        #: Item ids by benchmark row: long items, then short ones.
+        self.names = [*self.ids, *[item for item, _ in self.short]]
         own = [grams(c) for c in self.codes]
         h = np.concatenate(own) if own else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -134,14 +141,14 @@ class Benchmark:
         self.length = np.array([len(c) for c in self.codes], np.int64)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, edits, start, end), places in text.lower(); one for each item that occurs, its best."""
+        """(item_id, edits, start, end), places in text.lower(); one for each benchmark row that occurs, its best."""
         codes, at = normal(text)
-        out = {}
+        out: dict[int, tuple[int, int, int]] = {}
         if self.short:
             flat = f" {''.join(map(chr, codes)).strip()} "
-            for item, s in self.short:
+            for row, (_, s) in enumerate(self.short, len(self.ids)):
                 if (k := flat.find(f" {s} ")) >= 0:
-                    out[item] = (0, int(at[k]), int(at[k + len(s) - 1]) + 1)
+                    out[row] = (0, int(at[k]), int(at[k + len(s) - 1]) + 1)
         g = grams(codes)
         hit = np.flatnonzero(self.table[g >> np.uint64(64 - _BITS)]) if len(g) and len(self.h) else []
         if len(hit):
@@ -155,7 +162,7 @@ class Benchmark:
                 enough = (np.bincount(item, minlength=len(self.least)) >= self.least)[item]
                 if enough.any():
                     self._bands(codes, at, doc_at[enough], item[enough], self.pos[row[enough]], out)
-        return [(item, *out[item]) for item in sorted(out)]
+        return sorted((self.names[row], *found) for row, found in out.items())
 
     def _bands(self, codes: np.ndarray, at: np.ndarray, doc_at: np.ndarray, item: np.ndarray, pos: np.ndarray, out: dict) -> None:
         shift = len(codes) + 1
@@ -173,12 +180,12 @@ class Benchmark:
             i = int(which[k])
             first = (int(keys[k]) - i * size) * (2 * int(self.e[i]) + 1) - int(self.length.max())
             last, e = first + 2 * (2 * int(self.e[i]) + 1) - 1, int(self.e[i])
-            if self.ids[i] in out and not out[self.ids[i]][0]:
+            if i in out and not out[i][0]:
                 continue
             if found := exact(self.codes[i], codes, max(0, first), last) or aligned(self.codes[i], codes, first, last, e):
                 cost, s, t = found
-                if self.ids[i] not in out or cost < out[self.ids[i]][0]:
-                    out[self.ids[i]] = (cost, int(at[s]), int(at[t - 1]) + 1)
+                if i not in out or cost < out[i][0]:
+                    out[i] = (cost, int(at[s]), int(at[t - 1]) + 1)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -195,29 +202,41 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    sent, names = docs.sparkSession.sparkContext.broadcast(items), docs.columns
+_MATCHES = T.ArrayType(T.StructType().add("item_id", "long").add("edits", "integer").add("start", "long").add("end", "long"))
+
+
+def _scan(docs: DataFrame, sent, into: str) -> DataFrame:
+    """docs with a column of the matches of one block (a broadcast variable)."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(sent.value)
         for b in common.slices(batches):
             found = [bench.matches(t) if t else [] for t in common.texts_of(b)]
             new = pa.array([[{"item_id": i, "edits": e, "start": s, "end": t} for i, e, s, t in x] for x in found], pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], new], [*names, "_matches"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], new], [*names, into])
 
-    full = T.StructType([*docs.schema.fields]).add("_matches", T.ArrayType(T.StructType().add("item_id", "long").add("edits", "integer").add("start", "long").add("end", "long")))
-    return common.in_arrow(docs, run, full)
+    return common.in_arrow(docs, run, T.StructType([*docs.schema.fields]).add(into, _MATCHES))
 
 
-def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with _matches: array of (item_id, edits, start, end), empty where the document is clean."""
+def matched(docs: DataFrame, benchmark: DataFrame, into: str = "_matches") -> DataFrame:
+    """docs with a column of matches: array of (item_id, edits, start, end), empty where the document is clean."""
+    sc = docs.sparkSession.sparkContext
     blocks = iter(_blocks(benchmark))
-    first = next(blocks, None)
-    out = _scan(docs, first or [])
-    for block in blocks:  # a further scan of the documents for each further block
-        more = _scan(out.withColumnRenamed("_matches", "_before"), block)
-        out = more.withColumn("_matches", F.concat("_before", "_matches")).drop("_before")
-    return out
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return _scan(docs, sc.broadcast(block), into)
+    row = common.fresh("_row", docs.columns)
+    rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    found: DataFrame | None = None
+    while block:
+        sent = sc.broadcast(block)
+        part = common.written(_scan(rows.select(row, "text"), sent, into).where(F.size(into) > 0).select(row, F.explode(into).alias(into)), "matches")
+        sent.destroy()
+        found = part if found is None else found.union(part)
+        block, following = following, next(blocks, None)
+    found = found.groupBy(row).agg(F.collect_list(into).alias(into))
+    return rows.join(found, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(into, F.array().cast(_MATCHES)).alias(into))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -232,4 +251,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item occurs, all columns."""
-    return matched(docs, benchmark).where(F.size("_matches") == 0).drop("_matches")
+    into = common.fresh("_matches", docs.columns)
+    return matched(docs, benchmark, into).where(F.size(into) == 0).drop(into)
