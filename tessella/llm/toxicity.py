@@ -11,7 +11,7 @@ up on the executors.  Scores use the text alone.
 
 Null and empty texts score the base rate.  Repeated rows score alike; a document labelled twice
 counts as toxic if either label is.  Without labels of both kinds every score is the base rate of those
-there are (0 without any).  Extra columns pass through `reject`; extra label columns are ignored.
+there are (0 without any).  Extra columns of any name pass through `reject`; extra label columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ _LEET = {
 }
 _SEPARATORS = frozenset(".-_~'`´^·•,:;/\\=\"")
 _WILD = frozenset("*#%?")
-_LEET_COST, _DOUBLE_COST, _SEPARATOR_COST, _WILD_COST, _END_COST = 0.7, 1.2, 0.3, 1.5, 2.0
+_LEET_COST, _DOUBLE_COST, _SEPARATOR_COST, _WILD_COST, _WILD_NONE, _END_COST = 0.7, 1.2, 0.3, 1.5, 2.0, 2.0
 
 
 def _options(c: str, n: int) -> list[tuple[tuple[int, ...], float]]:
@@ -111,8 +111,6 @@ def _options(c: str, n: int) -> list[tuple[tuple[int, ...], float]]:
         return [*found, ((), 4.0)]
     if c in _SEPARATORS:
         return [((), _SEPARATOR_COST), ((0,), _END_COST)]
-    if c in _WILD:
-        return [((k,) * min(n, 3), _WILD_COST * min(n, 3)) for k in range(1, LETTERS)] + [((), 2.0)]
     return [((0,), 1.0)]
 
 
@@ -134,55 +132,196 @@ def _step(live: dict[int, tuple[float, tuple]], ways: list[tuple[tuple[int, ...]
     return new
 
 
-def _wide_step(live: dict[int, tuple[float, tuple]], ways: list[tuple[tuple[int, ...], float]], logp: np.ndarray) -> dict[int, tuple[float, tuple]]:
-    """The same in arrays, for many contexts or ways."""
-    cube = LETTERS**3
-    contexts, paths = list(live), [t for _, t in live.values()]
-    k0, s0 = np.fromiter(live, np.int64, len(live)), np.fromiter((s for s, _ in live.values()), np.float64, len(live))
-    best, source, chosen = np.full(cube, -np.inf), np.zeros(cube, np.int64), np.zeros(cube, np.int64)
+class _Dense:
+    """One step over all contexts: the score of each, the context and way that it came from, and the step before;
+    `instead` has the paths into contexts that came by another way."""
+
+    __slots__ = ("score", "source", "chosen", "ways", "before", "instead")
+
+    def __init__(self, score, source, chosen, ways, before):
+        self.score, self.source, self.chosen, self.ways, self.before = score, source, chosen, ways, before
+        self.instead: dict[int, tuple] = {}
+
+    def live(self) -> dict[int, tuple[float, tuple]]:
+        return {k: (self.score.item(k), (self, k)) for k in np.flatnonzero(self.score > -np.inf).tolist()}
+
+
+_CUBE, _SQUARE = LETTERS**3, LETTERS**2
+
+
+def _scores(state) -> np.ndarray:
+    if isinstance(state, _Dense):
+        return state.score
+    out = np.full(_CUBE, -np.inf)
+    out[np.fromiter(state, np.int64, len(state))] = np.fromiter((s for s, _ in state.values()), np.float64, len(state))
+    return out
+
+
+def _wide_step(state, ways: list[tuple[tuple[int, ...], float]], logp: np.ndarray) -> _Dense:
+    """The same as _step in arrays, for many contexts or ways."""
+    table, start = logp.reshape(_CUBE, LETTERS), _scores(state)
+    best, source, chosen = np.full(_CUBE, -np.inf), np.zeros(_CUBE, np.int64), np.zeros(_CUBE, np.int8)
     for number, (way, price) in enumerate(ways):
-        k, s = k0, s0 - price
+        s, origin = start - price, np.arange(_CUBE)
         for x in way:
-            more = (k % LETTERS != 0) | (x != 0)
-            s = np.where(more, s + logp[k * LETTERS + x], s)
-            k = np.where(more, (k * LETTERS + x) % cube, k)
-        at = np.argsort(s, kind="stable")  # the best one of a context is written last
-        k, s = k[at], s[at]
-        top, from_ = np.full(cube, -np.inf), np.zeros(cube, np.int64)
-        top[k], from_[k] = s, at
-        better = top > best
-        best[better], source[better], chosen[better] = top[better], from_[better], number
-    new = {}
-    for k in np.flatnonzero(best > -np.inf).tolist():
-        t, c = paths[source[k]], contexts[source[k]]
-        for x in ways[chosen[k]][0]:
-            if x or c % LETTERS:
-                t, c = (t, x), c * LETTERS + x
-        new[k] = (float(best[k]), t)
-    return new
+            sums = (s + table[:, x]).reshape(LETTERS, _SQUARE)
+            if x == 0:
+                sums[:, ::LETTERS] = -np.inf  # one word end in a row: these contexts stay as they are
+            first = sums.argmax(0)
+            new, came = np.full(_CUBE, -np.inf), np.zeros(_CUBE, np.int64)
+            new[x::LETTERS] = sums[first, np.arange(_SQUARE)]
+            came[x::LETTERS] = origin[first * _SQUARE + np.arange(_SQUARE)]
+            if x == 0:
+                stay = np.arange(0, _CUBE, LETTERS)
+                stay = stay[s[stay] > new[stay]]
+                new[stay], came[stay] = s[stay], origin[stay]
+            s, origin = new, came
+        better = s > best
+        best[better], source[better], chosen[better] = s[better], origin[better], number
+    return _Dense(best, source, chosen, [w for w, _ in ways], state)
+
+
+_LETTER_WAYS = [(k,) for k in range(LETTERS)]
+
+
+def _wild_step(state, logp: np.ndarray, cost: float) -> _Dense:
+    """The best path into each context after any one letter."""
+    sums = (_scores(state)[:, None] + logp.reshape(_CUBE, LETTERS)).reshape(LETTERS, _CUBE)
+    first = sums.argmax(0)
+    best = sums[first, np.arange(_CUBE)] - cost
+    best[::LETTERS] = -np.inf  # a letter, no word end
+    return _Dense(best, first * _SQUARE + np.arange(_CUBE) // LETTERS, (np.arange(_CUBE) % LETTERS).astype(np.int8), _LETTER_WAYS, state)
+
+
+def _either(none: dict[int, tuple[float, tuple]], state):
+    """The better path into each context, `none` first."""
+    if isinstance(state, _Dense):
+        score = state.score.copy()
+        out = _Dense(score, state.source, state.chosen, state.ways, state.before)
+        for k, (s, path) in none.items():
+            if s >= score[k]:
+                score[k], out.instead[k] = s, path
+        return out
+    return none | {k: x for k, x in state.items() if k not in none or none[k][0] < x[0]}
+
+
+def _wild_run(state, n: int, logp: np.ndarray, spaced: bool) -> list:
+    """States after a run of n wildcards: nothing, or n letters, each its own; spaced: word ends may fall before any of them.
+
+    n letters cost n * _WILD_COST at least, nothing _WILD_NONE; what follows can make up for the three
+    letters of context and the last word end alone.  Runs so long that letters can't win are nothing, exactly."""
+    live = state.live() if isinstance(state, _Dense) else state
+    none = {k: (s - _WILD_NONE, t) for k, (s, t) in live.items()}
+    if n * _WILD_COST > _WILD_NONE - 4.0 * _floor(logp):
+        return [none]
+    for _ in range(n):
+        if spaced:
+            ends = _wide_step(state, [((), 0.0), ((0,), _END_COST)], logp)
+            state = _wild_step(ends, logp, _WILD_COST)
+        elif isinstance(state, dict) and len(state) * LETTERS <= 2000:
+            state = _step(state, [((k,), _WILD_COST) for k in range(1, LETTERS)], logp)
+        else:
+            state = _wild_step(state, logp, _WILD_COST)
+    return [none, state]
+
+
+_FLOORS: dict[int, tuple[np.ndarray, float]] = {}
+#: Letters that a run of wildcards at a token's end stands for, by model, context and run.
+_ENDINGS: dict[tuple[int, int, int], tuple[float, tuple[int, ...]]] = {}
+
+
+def _floor(logp: np.ndarray) -> float:
+    """The least entry of a model."""
+    known = _FLOORS.get(id(logp))
+    if known is None or known[0] is not logp:
+        _FLOORS.clear()
+        _ENDINGS.clear()
+        _FLOORS[id(logp)] = known = logp, float(logp.min())
+    return known[1]
+
+
+def _letters(path: tuple) -> list[int]:
+    """What a path wrote."""
+    out: list[int] = []
+    while path:
+        before, x = path
+        if not isinstance(before, _Dense):
+            out.append(x)
+            path = before
+            continue
+        path = None
+        while isinstance(before, _Dense):
+            if x in before.instead:
+                path = before.instead[x]
+                break
+            k = int(before.source[x])
+            written, c = [], k
+            for y in before.ways[before.chosen[x]]:
+                if y or c % LETTERS:
+                    written.append(y)
+                    c = (c * LETTERS + y) % _CUBE
+            out += reversed(written)
+            x, before = k, before.before
+        if path is None:
+            path = before[x][1]
+    return out[::-1]
+
+
+def _end(states: list, logp: np.ndarray) -> tuple:
+    """The best path of several states, with the last word ended."""
+    top, path = -math.inf, ()
+    for state in states:
+        if isinstance(state, _Dense):
+            last = logp[::LETTERS].astype(np.float64)
+            last[::LETTERS] = 0.0  # ended already
+            total = state.score + last
+            k = int(total.argmax())
+            score, found = total.item(k), (state, k)
+        else:
+            score, found = max(((s + (logp.item(k * LETTERS) if k % LETTERS else 0.0), t) for k, (s, t) in state.items()), key=lambda x: x[0])
+        if score > top:
+            top, path = score, found
+    return path
+
+
+def _ending(context: int, n: int, logp: np.ndarray) -> tuple[int, ...]:
+    """The letters of a token's last n wildcards after one context."""
+    _floor(logp)
+    key = (id(logp), context, n)
+    if key not in _ENDINGS:
+        if len(_ENDINGS) > 100_000:
+            _ENDINGS.clear()
+        _ENDINGS[key] = tuple(_letters(_end(_wild_run({context: (0.0, ())}, n, logp, False), logp)))
+    return _ENDINGS[key]
 
 
 def restore(token: str, logp: np.ndarray, spaced: bool = False) -> str:
     """The likeliest words behind a token, a to z, exact over all contexts; spaced: word ends may also fall between its characters."""
-    live: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-    at = 0
+    state = {0: (0.0, ())}
+    at, tail = 0, ()
     while at < len(token):
         n = 1
         while at + n < len(token) and token[at + n] == token[at]:
             n += 1
+        if token[at] in _WILD:
+            if at + n == len(token) and isinstance(state, dict) and len(state) == 1 and not spaced:
+                tail = _ending(next(iter(state)), n, logp)
+                break
+            none, *letters = _wild_run(state, n, logp, spaced and at > 0)
+            state = _either(none, letters[0]) if letters else none
+            at += n
+            continue
         ways = []
         for letters, cost in _options(token[at], n):
             ways.append((letters, cost))
             if spaced and at and letters and letters[0]:
                 ways.append(((0, *letters), cost + _END_COST))
-        live = (_step if len(live) * len(ways) <= 2000 else _wide_step)(live, ways, logp)
+        if isinstance(state, _Dense) and np.count_nonzero(state.score > -np.inf) * len(ways) <= 2000:
+            state = state.live()
+        state = _step(state, ways, logp) if isinstance(state, dict) and len(state) * len(ways) <= 2000 else _wide_step(state, ways, logp)
         at += n
-    score, path = max(((s + (logp.item(k * LETTERS) if k % LETTERS else 0.0), t) for k, (s, t) in live.items()), key=lambda x: x[0])
-    out = []
-    while path:
-        path, x = path
-        out.append(chr(96 + x) if x else " ")
-    return "".join(reversed(out)).strip()
+    path = _end([state], logp)
+    return "".join(chr(96 + x) if x else " " for x in [*_letters(path), *tail]).strip()
 
 
 _TRIM = re.compile(r"^[^\w@$!|+€£]+|[^\w@$|+€£*]+$")
@@ -311,7 +450,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, flo
 _READERS: dict[int, Reader] = {}
 
 
-def _with_score(docs: DataFrame, model: tuple[np.ndarray, dict[int, float], float]) -> DataFrame:
+def _with_score(docs: DataFrame, model: tuple[np.ndarray, dict[int, float], float], into: str) -> DataFrame:
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -325,17 +464,18 @@ def _with_score(docs: DataFrame, model: tuple[np.ndarray, dict[int, float], floa
         for b in common.slices(batches):
             z = [intercept + math.fsum(weights[f] for f in reader.read(t)) for t in common.texts_of(b)]
             score = pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in z], pa.float64())
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], score], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], score], [*names, into])
 
-    return common.in_arrow(docs, run, T.StructType([*docs.schema.fields]).add("_score", "double"))
+    return common.in_arrow(docs, run, T.StructType([*docs.schema.fields]).add(into, "double"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    out = _with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
-    return out.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    out = _with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels), "score")
+    return out.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below one half, all columns."""
-    return _with_score(docs, train(docs, labels)).where("_score < 0.5").drop("_score")
+    into = common.fresh("_score", docs.columns)
+    return _with_score(docs, train(docs, labels), into).where(F.col(into) < 0.5).drop(into)
