@@ -4,10 +4,11 @@ Base spans are the plain identifiers of the text.  Transducers then rewrite the
 and full-width characters, invisible characters, at/dot disguises, spelled digits.  Each carries
 for every written character the source range it came from, so spans found in the rewritten text
 map back to the source.  Added spans touch at least one rewritten place and overlap no base span
-of their kind; base spans always stay.
+of their kind; base spans always stay.  Disguised addresses may have parts of any length and number.
 
 Offsets are code points, ends exclusive.  Null and empty texts give no spans.  Repeated rows are
-scanned each; extra columns are ignored.  Time is linear in the text, also on long runs of one character.
+scanned each; extra columns are ignored.  Time is linear in the text: patterns are anchored and possessive,
+spelled digits are read by an automaton over tokens.
 """
 
 from __future__ import annotations
@@ -81,20 +82,21 @@ _DIGITS = {
     "zero": "0", "oh": "0", "null": "0", "zéro": "0", "cero": "0", "one": "1", "eins": "1", "un": "1", "uno": "1", "two": "2", "zwei": "2", "zwo": "2", "deux": "2", "dos": "2", "three": "3", "drei": "3", "trois": "3", "tres": "3",
     "four": "4", "vier": "4", "quatre": "4", "cuatro": "4", "five": "5", "fünf": "5", "cinq": "5", "cinco": "5", "six": "6", "sechs": "6", "seis": "6", "seven": "7", "sieben": "7", "sept": "7", "siete": "7", "eight": "8", "acht": "8", "huit": "8", "ocho": "8", "nine": "9", "neun": "9", "neuf": "9", "nueve": "9",
 }
-_WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _DOT = "dot|punkt|point|punto"
-_ONE = rf"(?:(?:double|triple) (?:{_WORD}|[0-9])|{_WORD}|[0-9]+)"
-#: At least four spelled or figure digits in a row, with plus, dots and hyphens between; figures alone are left alone.
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[ -]+|\+ ?)?(?:\(? ?{_ONE} ?\)?(?:[ ,-]+(?:(?:{_DOT}|dash|hyphen|minus)[ ,-]+)?|(?= ?\))|(?<=\)))){{3,}}{_ONE}(?![^\W_])")
-_PIECE = re.compile(rf"(?i)(double|triple) ({_WORD}|[0-9])(?![^\W_])|({_WORD})(?![^\W_])|({_DOT})(?![^\W_])|(plus)(?![^\W_])|(dash|hyphen|minus)(?![^\W_])|([0-9]+)|([ ,-]+)|(.)", re.S)
+_JOINERS = dict.fromkeys(_DOT.split("|"), ".") | dict.fromkeys(("dash", "hyphen", "minus"), "")
+_TIMES = {"double": 2, "triple": 3}
+_TOKEN = re.compile(r"([^\W_]+)|([ ,-]+)|(.)", re.S)
+#: Over the kinds of tokens: at least four digits in a row (o), with plus (p) before and gaps (g), a joiner
+#: between gaps (j) and brackets between them.  Possessive throughout, so a run is read once.
+_RUN = re.compile(r"(?:pg?+\(?+g?+)?+o(?:(?>g?\)?g?(?:jg)?\(?g?)(?<=[g()])o){3,}+")
 #: Words that count as a sign of spelled digits; the articles among them don't.
 _SIGNS = _DIGITS.keys() - {"un", "uno", "oh", "null"}
 _BREAKS = str.maketrans("-,()+", "     ")
 _DOTS = tuple(f" {x} " for x in _DOT.split("|"))
 
-_BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*|\s*_at_\s*")
-_BRACKET_DOT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*|\s*_dot_\s*")
-_WORDY = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}( ?@ ?| (?:at|arroba) )[A-Za-z0-9-]{{1,63}}(?:(?: (?:{_DOT}) | ?\. ?)[A-Za-z0-9-]{{1,63}}){{1,6}}")
+_BRACKET_AT = re.compile(r"(?i)[\[({<]\s*+(?:at|arroba|@)\s*+[\])}>]|_at_")
+_BRACKET_DOT = re.compile(rf"(?i)[\[({{<]\s*+(?:{_DOT}|\.)\s*+[\])}}>]|_dot_")
+_WORDY = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( ?@ ?| (?:at|arroba) )[A-Za-z0-9-]++(?:(?: (?:{_DOT}) | ?\. ?)[A-Za-z0-9-]++)++")
 #: After a bare "at" these begin no host's name.
 _PLAIN_WORD = re.compile(r"(?i)(?:the|a|an|this|that|my|our|your|his|her|its|their) ")
 _WORDY_DOT = re.compile(rf"(?i) (?:{_DOT}) | ?\. ?")
@@ -143,24 +145,60 @@ def _glyph(m: re.Match) -> str:
     return str(d) if d >= 0 else x if len(x := unicodedata.normalize("NFKC", c)) == 1 else c
 
 
-def _digits(s: str) -> str:
-    out, after = [], False
-    for m in _PIECE.finditer(s):
-        many, which, word, dot, plus, _, figures, gap, other = m.groups()
-        one = lambda w: _DIGITS.get(w.lower(), w)
-        if many:
-            out.append(one(which) * (2 if many.lower() == "double" else 3))
-        elif word:
-            out.append(one(word))
-        elif dot:
-            out.append(".")
-        elif plus:
-            out.append("+")
-        elif figures:
-            out.append(figures)
-        elif other:
-            out.append(other)
-    return "".join(out)
+def _spelled(s: str) -> list[tuple[int, int, str]]:
+    """Edits that write runs of at least four spelled or figure digits as figures; figures alone are left alone."""
+    kinds, starts, ends, values = [], [], [], []
+    for m in _TOKEN.finditer(s):
+        a, b = m.span()
+        word, gap, other = m.groups()
+        if word:
+            low = word.lower()
+            figures = word.isascii() and word.isdigit()
+            value = word if figures else _DIGITS.get(low)
+            if value is not None:
+                if len(value) == 1 and kinds[-2:] == ["d", "g"] and s[starts[-1] : a] == " ":
+                    value *= values[-2]  # "double five"
+                    a = starts[-2]
+                    for x in (kinds, starts, ends, values):
+                        del x[-2:]
+                    figures = False
+                kind = "f" if figures else "o"
+            elif low in _JOINERS:
+                kind, value = "j", _JOINERS[low]
+            elif low in _TIMES:
+                kind, value = "d", _TIMES[low]
+            else:
+                kind, value = ("p", "+") if low == "plus" else ("x", "")
+        elif gap:
+            kind, value = "g", ""
+        else:
+            kind, value = ("p", other) if other == "+" else (other, other) if other in "()" else ("x", "")
+        kinds.append(kind)
+        starts.append(a)
+        ends.append(b)
+        values.append(value)
+    flat = "".join(kinds)
+    out = []
+    for m in _RUN.finditer(flat.replace("f", "o")):
+        i, j = m.span()
+        new = "".join(values[i:j])
+        if "o" in flat[i:j] and sum(map(str.isdigit, new)) >= 4:
+            out.append((starts[i], ends[j - 1], new))
+    return out
+
+
+def _widened(pattern: re.Pattern, s: str, new: str) -> list[tuple[int, int, str]]:
+    """Edits of a pattern's matches with the white space around them, which is read once."""
+    out, low = [], 0
+    for m in pattern.finditer(s):
+        a, b = m.span()
+        while a > low and s[a - 1].isspace():
+            a -= 1
+        while b < len(s) and s[b].isspace():
+            b += 1
+        out.append((a, b, new))
+        low = b
+    return out
 
 
 def _at_dot(m: re.Match) -> list[tuple[int, int, str]]:
@@ -190,12 +228,12 @@ def rewrite(t: str) -> Rewritten | None:
     s = r.text if r else t
     if any(x in s for x in ("[", "(", "{", "<", "_")):
         for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
-            if edits := [(*m.span(), new) for m in pattern.finditer(s)]:
+            if edits := _widened(pattern, s, new):
                 r = r or Rewritten(t)
                 r.apply(edits)
                 s = r.text
     low = s.lower()
-    if sum(map(_SIGNS.__contains__, low.translate(_BREAKS).split() if low.isascii() else low.replace("-", " ").replace(",", " ").replace("(", " ").replace(")", " ").split())) >= 2 and (edits := [(*m.span(), x) for m in _SPELLED.finditer(s) if re.search(r"[A-Za-z]", m.group()) and len(re.sub(r"\D", "", x := _digits(m.group()))) >= 4]):
+    if sum(map(_SIGNS.__contains__, low.translate(_BREAKS).split() if low.isascii() else low.replace("-", " ").replace(",", " ").replace("(", " ").replace(")", " ").split())) >= 2 and (edits := _spelled(s)):
         r = r or Rewritten(t)
         r.apply(edits)
         s = r.text
