@@ -6,6 +6,7 @@ import time
 import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,17 +38,45 @@ def prose(n, seed):
 # --- substring -------------------------------------------------------------------------------
 
 
+def slow_pieces(t):
+    """(end, normalised piece, words), word by word."""
+    w = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+    keys = (substring.Batch([t]).hash >> np.uint64(33)).tolist()
+    gaps = [t[b : w[k + 1][0] if k + 1 < len(w) else len(t)] for k, (_, b) in enumerate(w)]
+    last = [bool(re.fullmatch(r"(?s).*[.!?…][\"')\]»”]*", t[a:b])) or "\n" in gap for (a, b), gap in zip(w, gaps)]
+    last[-1:] = [True] * bool(last)
+    cut = list(last)
+    for k in range(len(w) - substring.WINDOW + 1):
+        if not any(last[k : k + substring.WINDOW - 1]):
+            cut[min(range(k, k + substring.WINDOW), key=lambda i: (keys[i], -i))] = True
+    out, at = [], 0
+    for k, c in enumerate(cut):
+        if c:
+            out.append((w[k + 1][0] if k + 1 < len(w) else len(t), " ".join(t[a:b].lower() for a, b in w[at : k + 1]), k + 1 - at))
+            at = k + 1
+    return out
+
+
+def slow_runs(parts):
+    for i in range(len(parts)):
+        for j in range(i + substring.RUN, len(parts) + 1):
+            if sum(p[2] for p in parts[i:j]) >= substring.MIN_WORDS:
+                yield i, j
+                break
+
+
 def brute_spans(texts):
     seen, out = {}, []
-    parts = [substring.sentences(t or "") for t in texts]
+    parts = [slow_pieces(t or "") for t in texts]
+    key = lambda p, i, j: " ".join(x[1] for x in p[i:j])
     for d, p in enumerate(parts):
-        for i, j in substring.runs(p):
-            key = tuple(x[1] for x in p[i:j])
-            seen[key] = min(seen.get(key, (d, i)), (d, i))
+        for i, j in slow_runs(p):
+            k = key(p, i, j)
+            seen[k] = min(seen.get(k, (d, i)), (d, i))
     for d, p in enumerate(parts):
         gone = set()
-        for i, j in substring.runs(p):
-            if seen[tuple(x[1] for x in p[i:j])] != (d, i):
+        for i, j in slow_runs(p):
+            if seen[key(p, i, j)] != (d, i):
                 gone |= set(range(i, j))
         out.append("".join((texts[d] or "")[p[k - 1][0] if k else 0 : p[k][0]] for k in range(len(p)) if k not in gone) + (texts[d] or "")[p[-1][0] if p else 0 :])
     return out
@@ -55,7 +84,7 @@ def brute_spans(texts):
 
 def test_substring_against_brute_force(spark):
     shared = prose(60, 1)
-    texts = [prose(80, 2) + "\n" + shared + "\n" + prose(40, 3), shared + " " + prose(30, 4), prose(50, 5), None, "", "One.", prose(30, 6) + " " + shared + " " + shared, words(400, 7), words(30, 8) + " " + words(400, 7)]
+    texts = [prose(80, 2) + "\n" + shared + "\n" + prose(40, 3), shared + " " + prose(30, 4), prose(50, 5), None, "", "One.", prose(30, 6) + " " + shared + " " + shared, words(400, 7), words(30, 8) + " " + words(400, 7), "İ " + shared, words(150_000, 9) + ". " + shared]
     got = {r.doc_id: r for r in substring.dedup(frame(spark, texts)).collect()}
     want = brute_spans(texts)
     for d, t in enumerate(texts):
@@ -89,14 +118,21 @@ def test_every_repeated_passage_of_51_words_is_found(spark):
     assert min(lost) >= substring.MIN_WORDS and sum(lost) / len(lost) > 30
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab .!\n?é", max_size=300))
-def test_sentences_cover_the_text(t):
-    at = 0
-    for end, s, n in substring.sentences(t):
-        assert end > at and s.split() == t[at:end].lower().split() and n == len(s.split()) > 0
-        at = end
-    assert not t[at:].split()
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab .!\n?é”)İß\u2003\x1c", max_size=120), max_size=4))
+def test_pieces_and_runs_of_a_batch(texts):
+    batch = substring.Batch(texts)
+    of, first, end = batch.runs()
+    for d, t in enumerate(texts):
+        parts = slow_pieces(t)
+        a, b = batch.first_piece[d : d + 2]
+        assert b - a == len(parts) and batch.places(d, t).tolist() == [p[0] for p in parts]
+        assert [(i - a, j - a) for k, i, j in zip(of, first, end) if k == d] == list(slow_runs(parts))
+    h = [x.tolist() for x in batch.hashes(first, end)]
+    flat = [p[1] for t in texts for p in slow_pieces(t)]
+    keys = [" ".join(flat[i:j]) for i, j in zip(first, end)]
+    for n in range(len(keys)):
+        assert keys.index(keys[n]) == list(zip(*h)).index((h[0][n], h[1][n]))
 
 
 # --- PII -------------------------------------------------------------------------------------
