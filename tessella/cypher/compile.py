@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +28,9 @@ from .errors import CypherError, ResourceLimitExceeded
 from .parser import AGGREGATES, parse
 
 _TEMPORAL = {"date", "time", "localtime", "datetime", "localdatetime", "duration"}
-#: Hops of an unbounded pattern, and of a bounded one that is unrolled in one plan.
+#: Hops of an unbounded pattern beyond which it is refused (option max_hops), and of a bounded one whose levels
+#: aren't looked at between hops.
 MOST_HOPS, UNROLLED = 64, 12
-MOST_ITEMS = 200_000
 
 
 def c(name: str) -> Column:
@@ -72,6 +72,7 @@ class RelB:
     nullable: bool = False
     src: tuple = ()  # node tables
     dst: tuple = ()
+    own: dict = field(default_factory=dict)  # near, far: properties of the node there, which the rows hold
 
     @property
     def key(self) -> str:
@@ -750,19 +751,26 @@ class Compiler:
             for p, x in table.props.items():
                 props[p] = v.merged(props[p], x) if p in props else x
         frames, far, near, src, dst = [], {}, {}, {}, {}
+        carried: dict[str, tuple] = {}  # ends whose nodes the relationship's own rows tell
+        if len(found) == 1:
+            table, forward = found[0]
+            for end, node, labels in table.carried:
+                if self._ends(table.src if end == "src" else table.dst) == [node]:
+                    carried["far" if (end == "dst") == forward else "near"] = (end, node, labels)
         for table, forward in found:
             own = table.props
             a, b = ("_src", "_dst") if forward else ("_dst", "_src")
-            rows = table.df
+            rows = self.graph.rel_frame(table)
             if both and not forward and any(x is table and f for x, f in found):
                 rows = rows.where("_src <> _dst")  # a loop is walked once
             frames.append(rows.select(
                 F.col("_rid").alias(f"{prefix}__rid"), F.lit(table.type).alias(f"{prefix}__type"), F.col("_src").alias(f"{prefix}__src"), F.col("_dst").alias(f"{prefix}__dst"), F.col(a).alias(f"{prefix}__near"), F.col(b).alias(f"{prefix}__far"),
                 *[(v.cast(Val(c(p), own[p]), x) if p in own else F.lit(None).cast(x)).alias(f"{prefix}_p_{p}") for p, x in props.items()],
+                *[x for side, (end, node, labels) in carried.items() for x in [F.array(*map(F.lit, labels)).alias(f"{prefix}__{side}__labels"), *[c(f"_at_{end}_{p}").alias(f"{prefix}__{side}_p_{p}") for p in node.props]]],
             ))
             for into, labels in ((far, table.dst if forward else table.src), (near, table.src if forward else table.dst), (src, table.src), (dst, table.dst)):
                 into |= {id(n): n for n in self._ends(labels)}
-        binding = RelB(prefix, tuple(sorted({x.type for x, _ in found})), props, src=tuple(src.values()), dst=tuple(dst.values()))
+        binding = RelB(prefix, tuple(sorted({x.type for x, _ in found})), props, src=tuple(src.values()), dst=tuple(dst.values()), own={side: node.props for side, (_, node, _) in carried.items()})
         if not frames:
             kind = T.StructType().add(f"{prefix}__rid", LONG).add(f"{prefix}__type", STRING)
             for x in ("src", "dst", "near", "far"):
@@ -785,10 +793,17 @@ class Compiler:
         rows = rows.withColumn(f"{start}__id", c(f"{prefix}__near"))
         self.frame = rows if self.unit else self.frame.crossJoin(rows)
         self.unit = False
-        self.scope[x.var] = NodeB(start, near)
+        self.scope[x.var] = self._at_end(b, "near", start, near)
         self._arrive(b, r, y, far)
         return True
 
+    def _at_end(self, b: RelB, side: str, prefix: str, tables: tuple) -> NodeB:
+        """The node at an end of a relationship, with its properties where they are at hand."""
+        props = b.own.get(side)
+        if props is not None:
+            self.frame = self.frame.withColumns({f"{prefix}__labels": c(f"{b.prefix}__{side}__labels")} | {f"{prefix}_p_{p}": c(f"{b.prefix}__{side}_p_{p}") for p in props})
+        return NodeB(prefix, tables, props)
+
     def _arrive(self, b: RelB, r: t.RelPattern, y: t.NodePattern, far: tuple) -> None:
         """After the join with a relationship: its variable, the node it leads to, and their conditions."""
         for kind, column, types in self.used:
@@ -802,7 +817,7 @@ class Compiler:
             return
         prefix = self.fresh()
         self.frame = self.frame.withColumn(f"{prefix}__id", c(f"{b.prefix}__far"))
-        self.scope[y.var] = NodeB(prefix, far)
+        self.scope[y.var] = self._at_end(b, "far", prefix, far)
         self._narrow(y.var, y)
 
     def _hop(self, x: t.NodePattern, r: t.RelPattern, y: t.NodePattern, p: t.PathPattern, backwards: bool) -> tuple:
@@ -864,19 +879,31 @@ class Compiler:
             rows = rows.join(nodes, c(f"{prefix}__far") == c(f"{node}__id"), "left").select(*map(c, b.columns), c(f"{prefix}__near"), c(f"{prefix}__far"), node_value.col.alias(f"{prefix}__node"))
         keep = self.frame.columns
         rids, rels, seen, end = f"{out}__rids", f"{out}__rels", f"{out}__nodes", f"{out}__id"
-        level = self.frame.withColumns({end: c(near.id), rids: F.array().cast("array<bigint>")} | ({rels: F.array().cast(T.ArrayType(b.value.type)), seen: F.array().cast(T.ArrayType(node_kind))} if whole else {}))
+        short = self._breadth_first(p, r, low)
+        base = self.frame
+        if short:  # from each start once, whatever else its rows hold
+            start = f"{out}__start"
+            base, keep = base.select(c(near.id).alias(start)).where(c(start).isNotNull()).distinct(), [start]
+        level = base.withColumns({end: c(start if short else near.id), rids: F.array().cast("array<bigint>")} | ({rels: F.array().cast(T.ArrayType(b.value.type)), seen: F.array().cast(T.ArrayType(node_kind))} if whole else {}))
         levels = [level] if low == 0 else []
-        limit = MOST_HOPS if high is None else high
-        for hop in range(1, limit + 1):
+        most_hops = self.options.get("max_hops", MOST_HOPS)
+        hop = 0
+        while high is None or hop < high:
+            hop += 1
             step = level.join(rows, (c(end) == c(f"{prefix}__near")) & ~F.array_contains(c(rids), c(b.key)))
             grown = [*map(c, keep), c(f"{prefix}__far").alias(end), F.concat(c(rids), F.array(c(b.key))).alias(rids)]
             if whole:
                 grown += [F.concat(c(rels), F.array(b.value.col)).alias(rels), F.concat(c(seen), F.array(c(f"{prefix}__node"))).alias(seen)]
             level = step.select(*grown)
-            if high is None or high > UNROLLED:
+            if short:
+                level = self._newly_reached(level, levels, start, end, rids, p.shortest)
+            # a level is read by its union and by the next hop, so it is made once; the first two are as cheap made again
+            if short or high is None or high > UNROLLED or 2 <= hop < high:
                 level = written(level, "hops")
-                if level.isEmpty():
+                if (short or high is None or high > UNROLLED) and level.isEmpty():
                     break
+                if high is None and hop > most_hops:
+                    raise ResourceLimitExceeded("Hops", most_hops, hop, "an unbounded pattern; max_hops lifts this")
                 most = self.options.get("max_intermediate_rows")
                 if most and (n := level.count()) > most:
                     raise ResourceLimitExceeded("IntermediateRows", most, n, f"hop {hop}")
@@ -884,9 +911,10 @@ class Compiler:
                 levels.append(level)
         if not levels:
             levels = [level.where(F.lit(False))]
-        self.frame = levels[0]
+        found = levels[0]
         for x in levels[1:]:
-            self.frame = self.frame.union(x)
+            found = found.union(x)
+        self.frame = self.frame.join(found, c(near.id) == c(start)).drop(start) if short else found
         for kind, column, types in self.used:
             if types & set(b.types):
                 self.frame = self.frame.where(~F.array_contains(c(rids), c(column)) if kind == "one" else ~F.arrays_overlap(c(rids), c(column)))
@@ -903,7 +931,27 @@ class Compiler:
             tables = tuple(dict.fromkeys((*far, *(near.tables if low == 0 else ()))))
             self.scope[y.var] = NodeB(out, tables)
         self._narrow(y.var, y)
-        return ("many", rids, rels, seen, b, node_kind, backwards)
+        return ("many", rids, rels, seen, b, node_kind, backwards, short)
+
+    def _breadth_first(self, p: t.PathPattern, r: t.RelPattern, low: int) -> bool:
+        """Whether a pattern's shortest paths are those of a search that visits each node once for each start.
+
+        Along undirected relationships such a search finds no way back to its start, which shortestPath
+        takes as no path."""
+        return p.shortest is not None and len(p.parts) == 3 and low <= 1 and not self.options.get("parity")
+
+    def _newly_reached(self, level: DataFrame, levels: list[DataFrame], start: str, end: str, rids: str, kind: str) -> DataFrame:
+        """Of paths one hop longer, those to nodes that no shorter one reaches; one for each node, or all of them."""
+        if levels:
+            past = levels[0].select(c(start).alias("_past_start"), c(end).alias("_past_end"))
+            for x in levels[1:]:
+                past = past.union(x.select(c(start), c(end)))
+            level = level.join(past, (c(start) == F.col("_past_start")) & (c(end) == F.col("_past_end")), "left_anti")
+        if kind == "all":
+            return level
+        others = [x for x in level.columns if x not in (start, end)]
+        best = level.groupBy(c(start), c(end)).agg(F.min_by(F.struct(*map(c, others)), c(rids)).alias("_best"))
+        return best.select(c(start), c(end), *[F.col("_best")[x].alias(x) for x in others]).select(*map(c, level.columns))
 
     def _walkable(self, r: t.RelPattern, near: tuple) -> list:
         """Relationship tables that any number of hops may reach."""
@@ -917,7 +965,7 @@ class Compiler:
         return found
 
     def _keep_shortest(self, p: t.PathPattern, nodes: list, pieces: dict) -> None:
-        if pieces[0][0] != "many" or self.options.get("parity"):
+        if pieces[0][0] != "many" or pieces[0][7] or self.options.get("parity"):
             return
         rids = pieces[0][1]
         ends = [c(self.scope[nodes[0].var].id), c(self.scope[nodes[-1].var].id)]

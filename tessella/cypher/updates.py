@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import values as v
 from ..functions.values import NULL, STRING, Val
 from ..sources.graph import SLOTS, NodeTable, PropertyGraph, RelTable
-from ..sources.shared import written
+from ..sources.shared import numbered, written
 from . import tree as t
 from .compile import Compiler, NodeB, RelB, ValB, c
 from .errors import CypherError
@@ -25,20 +25,6 @@ from .parser import parse
 MOST_DELETED = 100_000
 
 
-def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """(df with _row from 0 on, how many): counts of a partition each go to the driver, no rows."""
-    at = written(df.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), name)
-    counts = dict(at.groupBy("_part").count().collect())
-    start, first = 0, {}
-    for p in sorted(counts):
-        first[p] = start
-        start += counts[p]
-    base = F.lit(0).cast("long")
-    if first:
-        base = F.create_map(*[x for p, n in first.items() for x in (F.lit(p), F.lit(n).cast("long"))])[F.col("_part")]
-    return at.withColumn("_row", base + F.col("_in")).drop("_part", "_in"), start
-
-
 def _settled_id(n: Column) -> Column:
     """Created things take the last slot, which no registered table has."""
     return n * SLOTS + (SLOTS - 1)
@@ -47,7 +33,8 @@ def _settled_id(n: Column) -> Column:
 class Updater(Compiler):
     """A compiler whose graph changes from clause to clause."""
 
-    def __init__(self, graph: PropertyGraph, params: dict, counter=None, options: dict | None = None):
+    def __init__(self, graph: PropertyGraph, params: dict, counter=None, options: dict | None = None, moved: dict | None = None):
+        self.moved = {} if moved is None else moved  # id of a node table: (it, the one that took its place)
         super().__init__(replace(graph, nodes=list(graph.nodes), rels=list(graph.rels)), params, counter, options)
         self.stats = dict.fromkeys(("nodes_created", "relationships_created", "properties_set", "labels_added", "labels_removed", "nodes_deleted", "relationships_deleted"), 0)
 
@@ -90,6 +77,21 @@ class Updater(Compiler):
         self.graph.nodes.append(table)
         return table
 
+    def _latest(self, table: NodeTable) -> NodeTable:
+        while id(table) in self.moved:
+            table = self.moved[id(table)][1]
+        return table
+
+    def _move(self, i: int, new: NodeTable) -> None:
+        old = self.graph.nodes[i]
+        self.moved[id(old)] = (old, new)
+        self.graph.nodes[i] = new
+
+    def _own(self, tables: tuple) -> set[int]:
+        """Places in the graph of a variable's tables."""
+        ids = {id(self._latest(n)) for n in tables}
+        return {i for i, n in enumerate(self.graph.nodes) if id(n) in ids}
+
     def _rebind(self) -> None:
         """Variables look into the graph as it is now."""
         for n, b in list(self.scope.items()):
@@ -97,13 +99,13 @@ class Updater(Compiler):
                 if b.props is not None:
                     gone = [x for x in b.columns if x != b.id]
                     self.frame = self.frame.drop(*gone)
-                self.scope[n] = NodeB(b.prefix, tuple(self.graph.nodes), nullable=True)
+                self.scope[n] = NodeB(b.prefix, tuple(dict.fromkeys(map(self._latest, b.tables))), nullable=True)
             elif isinstance(b, RelB):
                 self.frame = self.frame.drop(*[x for x in b.columns if x not in (b.key, f"{b.prefix}__type", f"{b.prefix}__src", f"{b.prefix}__dst")])
                 rows, made, _, _ = self._rel_rows([(r, True) for r in self.graph.rels if r.type in b.types], b.prefix, False)
                 rows = rows.select(c(b.key).alias(f"{b.prefix}__k"), *[c(f"{b.prefix}_p_{p}") for p in made.props])
                 self.frame = self.frame.join(rows, c(b.key) == c(f"{b.prefix}__k"), "left").drop(f"{b.prefix}__k")
-                self.scope[n] = replace(b, props=made.props)
+                self.scope[n] = replace(b, props=made.props, src=tuple(map(self._latest, b.src)), dst=tuple(map(self._latest, b.dst)))
 
     # --- CREATE ------------------------------------------------------------------------------
 
@@ -136,6 +138,8 @@ class Updater(Compiler):
                 self._create_node(x, rows)
         for a, r, b in zip(parts[::2], parts[1::2], parts[2::2]):
             self._create_rel(a, r, b, rows)
+        if p.var:
+            self._name_path(p.var, parts[::2], {k: ("one", r.var) for k, r in enumerate(parts[1::2])})
 
     def _create_node(self, x: t.NodePattern, rows: int) -> None:
         values = self._values(x.props)
@@ -166,6 +170,8 @@ class Updater(Compiler):
     # --- MERGE -------------------------------------------------------------------------------
 
     def merge(self, k: t.Merge) -> None:
+        """Rows are taken in turn for each thing to merge: the first row of one that is missing creates it, and every
+        other row matches.  A row's ON MATCH reads what stood before any row's ON MATCH of this clause."""
         p = k.pattern
         if len(p.parts) not in (1, 3):
             raise CypherError("NotSupported", "MERGE of more than one relationship", "execution")
@@ -181,64 +187,68 @@ class Updater(Compiler):
                 column = self.fresh()
                 values[(x.var, key)] = (column, q.type)
                 self.frame = self.frame.withColumn(column, q.col)
-        self._settle()
         bound = [self.scope[x.var].id for x in parts[::2] if x.var in self.scope]
         keys = list(dict.fromkeys(bound + [n for n, _ in values.values()]))
-        # one row for each different thing to match or create
-        want = self.frame.select(*map(c, keys)).distinct() if keys else self.spark.range(1).select(F.lit(1).alias("_one"))
+        if not keys:
+            keys = [self.fresh()]
+            self.frame = self.frame.withColumn(keys[0], F.lit(True))
+        self._settle()
+        first, into = self.fresh(), {n: self.fresh() for n in new_names}
+        want = written(self.frame.groupBy(*map(c, keys)).agg(F.min("_row").alias(first)), "wanted")
         spots = {n: f" {n}" for n, _ in values.values()}
         asked = tuple(replace(x, props=t.MapOf(tuple((key, t.Var(spots[values[(x.var, key)][0]])) for key, _ in x.props.items)) if isinstance(x.props, t.MapOf) else x.props) for x in parts)
-
-        def matched(rows: DataFrame, graph: PropertyGraph) -> Compiler:
-            sub = Compiler(graph, self.params, self.counter, self.options)
-            sub.frame, sub.unit = rows, False
-            sub.scope = {x.var: NodeB(self.scope[x.var].prefix, tuple(graph.nodes)) for x in parts[::2] if x.var in self.scope} | {spots[n]: ValB(n, kind) for n, kind in values.values()}
-            sub.match_patterns((t.PathPattern(None, None, asked),))
-            return sub
-
-        old = matched(want, self.graph)
-        known = written(old.frame.select(*map(c, keys)).distinct(), "matched") if keys else None
-        same = F.lit(True)
-        for x in keys:
-            same = same & c(x).eqNullSafe(c(f"k_{x}"))
-        if keys:
-            missing = want.join(known.select(*[c(x).alias(f"k_{x}") for x in keys]), same, "left_anti")
-        else:
-            missing = want if old.frame.isEmpty() and not self.frame.isEmpty() else want.where(F.lit(False))
-        maker = Updater(self.graph, self.params, self.counter, self.options)
-        maker.frame, maker.unit, maker.scope = missing, False, {x.var: self.scope[x.var] for x in parts[::2] if x.var in self.scope} | {spots[n]: ValB(n, kind) for n, kind in values.values()}
-        made_rows = maker._settle()
-        if made_rows:
-            made = tuple(replace(x, way="out" if x.way == "both" else x.way) if isinstance(x, t.RelPattern) else replace(x, labels=() if x.var in self.scope else x.labels) for x in asked)
-            maker._create_path(t.PathPattern(None, None, made), made_rows)
+        given = {x.var: self.scope[x.var] for x in parts[::2] if x.var in self.scope} | {spots[n]: ValB(n, kind) for n, kind in values.values()}
+
+        def columns(scope: dict) -> list[Column]:
+            return [c(f"{scope[n].prefix}__{x}").alias(f"{name}__{x}") for n, name in into.items() for x in (("id",) if isinstance(scope[n], NodeB) else ("rid", "type", "src", "dst"))]
+
+        old = Compiler(self.graph, self.params, self.counter, self.options)
+        old.frame, old.unit, old.scope = want, False, dict(given)
+        old.match_patterns((t.PathPattern(None, None, asked),))
+        found = written(old.frame.select(*map(c, keys), F.lit(None).cast("long").alias(first), *columns(old.scope)), "matched")
+
+        def same(other: str = "k_") -> Column:
+            on = F.lit(True)
+            for x in keys:
+                on = on & c(x).eqNullSafe(c(f"{other}{x}"))
+            return on
+
+        missing = want.join(found.select(*[c(x).alias(f"k_{x}") for x in keys]).distinct(), same(), "left_anti")
+        maker = Updater(self.graph, self.params, self.counter, self.options, self.moved)
+        maker.unit, maker.scope = False, dict(given)
+        if k.on_create:  # the creating row's variables are there
+            missing = self.frame.join(missing.select(first), c("_row") == c(first))
+            maker.scope = self.scope | maker.scope
+        maker.frame = missing
+        if made := maker._settle():
+            new = tuple(replace(x, way="out" if x.way == "both" else x.way) if isinstance(x, t.RelPattern) else replace(x, labels=() if x.var in self.scope else x.labels) for x in asked)
+            maker._create_path(t.PathPattern(None, None, new), made)
+            found = found.unionByName(maker.frame.select(*map(c, keys), c(first), *columns(maker.scope)))
             if k.on_create:
                 maker.set(t.Set(k.on_create))
-            self.graph = maker.graph
-            for n, x in maker.stats.items():
-                self.stats[n] += x
-        if k.on_match and keys and not known.isEmpty() or k.on_match and not keys and not made_rows:
-            sub = matched(known if keys else want, self.graph)
-            setter = Updater(self.graph, self.params, self.counter, self.options)
-            setter.frame, setter.scope, setter.unit = sub.frame, sub.scope, False
-            setter._settle()
-            setter.set(t.Set(k.on_match))
-            self.graph = setter.graph
-            for n, x in setter.stats.items():
-                self.stats[n] += x
-        now = matched(want, self.graph)
-        found = now.frame
-        for n in new_names:
-            b = now.scope[n]
-            self.scope[n] = NodeB(b.prefix, tuple(self.graph.nodes)) if isinstance(b, NodeB) else b
-        columns = list(dict.fromkeys(x for n in new_names for x in ([now.scope[n].id] if isinstance(now.scope[n], NodeB) else now.scope[n].columns)))
-        found = found.select(*[c(x).alias(f"k_{x}") for x in keys], *map(c, columns))
-        self._rebind_old(new_names)
-        self.frame = self.frame.join(found, same).drop(*[f"k_{x}" for x in keys])
-
-    def _rebind_old(self, but: list[str]) -> None:
-        fresh = {n: self.scope.pop(n) for n in but}
+            self._took(maker)
+        for n, name in into.items():
+            x = next(x for x in parts if x.var == n)
+            self.scope[n] = NodeB(name, tuple(self.graph.node_tables(x.labels))) if isinstance(x, t.NodePattern) else RelB(name, tuple(x.types), {}, src=tuple(self.graph.nodes), dst=tuple(self.graph.nodes))
+        self.frame = self.frame.join(found.withColumnsRenamed({x: f"k_{x}" for x in keys}), same()).drop(*[f"k_{x}" for x in keys])
+        if k.on_match:
+            setter = Updater(self.graph, self.params, self.counter, self.options, self.moved)
+            setter.frame, setter.unit, setter.scope = self.frame.where(c(first).isNull() | (c(first) != c("_row"))), False, dict(self.scope)
+            setter._rebind()
+            setter.prepare(*[i.value for i in k.on_match if i.kind != "labels"])
+            setter.frame = written(setter.frame, "merged")
+            for item in k.on_match:
+                setter._set_one(item, remove=False)
+            self._took(setter)
+        self.frame = self.frame.drop(first, *[n for n, _ in values.values()])
         self._rebind()
-        self.scope |= fresh
+        if p.var:
+            self._name_path(p.var, parts[::2], {0: ("one", parts[1].var)} if len(parts) == 3 else {})
+
+    def _took(self, other: Updater) -> None:
+        self.graph = other.graph
+        for n, x in other.stats.items():
+            self.stats[n] += x
 
     # --- SET and REMOVE ----------------------------------------------------------------------
 
@@ -290,12 +300,12 @@ class Updater(Compiler):
         tables = self.graph.nodes if isinstance(b, NodeB) else self.graph.rels
         key = "_id" if isinstance(b, NodeB) else "_rid"
         fixed = {"_id", "_labels", "_rid", "_src", "_dst"}
-        for i, table in enumerate(tables):
-            if isinstance(table, RelTable) and table.type not in b.types:
-                continue
+        own_tables = self._own(b.tables) if isinstance(b, NodeB) else {i for i, r in enumerate(tables) if r.type in b.types}
+        for i in sorted(own_tables):
+            table = tables[i]
             own = table.props
             hit = F.col("_k").isNotNull()
-            joined = table.df.join(news, F.col(key) == F.col("_k"), "left")
+            joined = (table.df if isinstance(b, NodeB) else self.graph.rel_frame(table)).join(news, F.col(key) == F.col("_k"), "left")
             columns = [F.col(x) for x in table.df.columns if x in fixed]
             for p in dict.fromkeys([*own, *values]):
                 old = Val(c(p), own[p]) if p in own else v.null()
@@ -311,28 +321,37 @@ class Updater(Compiler):
                     columns.append(F.when(hit, None).otherwise(old.col).alias(p))
                 else:
                     columns.append(old.col.alias(p))
-            tables[i] = replace(table, df=joined.select(*columns))
+            if isinstance(b, NodeB):
+                self._move(i, replace(table, df=joined.select(*columns)))
+            else:
+                tables[i] = replace(table, df=joined.select(*columns), carried=(), derived=False)
 
     def _change_labels(self, b: NodeB, labels: tuple, remove: bool) -> None:
         ids = written(self.frame.where(c(b.id).isNotNull()).select(c(b.id).alias("_k")).distinct(), "labels")
         self.stats["labels_removed" if remove else "labels_added"] += ids.count() * len(labels)
         change = F.array(*map(F.lit, labels))
-        for i, n in enumerate(self.graph.nodes):
+        for i in sorted(self._own(b.tables)):
+            n = self.graph.nodes[i]
             new = F.array_except("_labels", change) if remove else F.array_union("_labels", change)
             rows = n.df.join(ids, F.col("_id") == F.col("_k"), "left").withColumn("_labels", F.when(F.col("_k").isNotNull(), new).otherwise(F.col("_labels"))).drop("_k")
-            self.graph.nodes[i] = NodeTable(rows, n.always - set(labels) if remove else n.always, n.maybe if remove else n.maybe | set(labels))
+            self._move(i, NodeTable(rows, n.always - set(labels) if remove else n.always, n.maybe if remove else n.maybe | set(labels)))
 
     # --- DELETE ------------------------------------------------------------------------------
 
     def delete(self, k: t.Delete) -> None:
         nodes, rels = [], []
+        own: set[int] | None = set()  # places of tables that may hold the nodes; None: any
+        types: set[str] | None = set()
         for e in k.items:
             b = self.scope.get(e.name) if isinstance(e, t.Var) else None
             if isinstance(b, NodeB):
+                own = own if own is None else own | self._own(b.tables)
                 nodes.append(self.frame.select(c(b.id).alias("_k")))
             elif isinstance(b, RelB):
+                types = types if types is None else types | set(b.types)
                 rels.append(self.frame.select(c(b.key).alias("_k")))
             else:
+                own = types = None
                 self.prepare(e)
                 x = self.ev(e)
                 if v.is_path(x.type):
@@ -358,18 +377,28 @@ class Updater(Compiler):
         targets = sum(x.count() for x in (gone_nodes, gone_rels) if x is not None)
         if targets > self.options.get("max_deleted", MOST_DELETED):
             raise CypherError("DeleteLimit", f"{targets} targets", "execution")
-        before = sum(r.df.count() for r in self.graph.rels)
-        if gone_rels is not None:
-            self.graph.rels = [replace(r, df=r.df.join(gone_rels, F.col("_rid") == F.col("_k"), "left_anti")) for r in self.graph.rels]
-        if gone_nodes is not None:
-            for i, r in enumerate(self.graph.rels):
-                left = r.df.join(gone_nodes, F.col("_src") == F.col("_k"), "left_anti").join(gone_nodes.withColumnRenamed("_k", "_k2"), F.col("_dst") == F.col("_k2"), "left_anti")
-                if not k.detach and left.count() != r.df.count():
+        places = set(range(len(self.graph.nodes))) if own is None else own
+        labels = {x for i in places for x in self.graph.nodes[i].maybe}
+        for i, r in enumerate(self.graph.rels):
+            gone = []
+            if gone_rels is not None and (types is None or r.type in types):
+                gone.append(r.df.select("_rid").join(gone_rels, F.col("_rid") == F.col("_k"), "left_semi"))
+            if gone_nodes is not None and any(x is None or x & labels or not labels for x in (r.src, r.dst)):
+                ends = r.df if not gone else r.df.join(gone_rels, F.col("_rid") == F.col("_k"), "left_anti")
+                tied = written(ends.select("_rid", F.explode(F.array("_src", "_dst")).alias("_end")).join(gone_nodes, F.col("_end") == F.col("_k"), "left_semi").select("_rid"), "tied")
+                if not k.detach and not tied.isEmpty():
                     raise CypherError("DeleteConnectedNode", "Cannot delete node with relationships without DETACH DELETE", "execution")
-                self.graph.rels[i] = replace(r, df=left)
-            self.graph.nodes = [replace(n, df=n.df.join(gone_nodes, F.col("_id") == F.col("_k"), "left_anti")) for n in self.graph.nodes]
+                gone.append(tied)
+            if gone:
+                rids = written((gone[0] if len(gone) == 1 else gone[0].union(gone[1])).distinct(), "deleted")
+                if n := rids.count():
+                    self.graph.rels[i] = replace(r, df=self.graph.rel_frame(r).join(rids, "_rid", "left_anti"), derived=False)
+                    self.stats["relationships_deleted"] += n
+        if gone_nodes is not None:
+            for i in sorted(places):
+                n = self.graph.nodes[i]
+                self._move(i, replace(n, df=n.df.join(gone_nodes, F.col("_id") == F.col("_k"), "left_anti")))
             self.stats["nodes_deleted"] += gone_nodes.count()
-        self.stats["relationships_deleted"] += before - sum(r.df.count() for r in self.graph.rels)
 
     # --- FOREACH -----------------------------------------------------------------------------
 
@@ -383,15 +412,13 @@ class Updater(Compiler):
         if x.type.elementType == NULL:
             return
         self._settle()
-        inner = Updater(self.graph, self.params, self.counter, self.options)
+        inner = Updater(self.graph, self.params, self.counter, self.options, self.moved)
         name = self.fresh()
         inner.frame, inner.unit = self.frame.withColumn(name, F.explode(x.col)), False
         inner.scope = dict(self.scope) | {k.var: ValB(name, x.type.elementType)}
         for q in k.body:
             inner.update(q)
-        self.graph = inner.graph
-        for n, y in inner.stats.items():
-            self.stats[n] += y
+        self._took(inner)
         self._rebind()
 
 

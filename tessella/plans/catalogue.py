@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.mapping import sales_graph
-from . import writes
+from . import more, writes
 
 FLAGSHIP = """
     MATCH (c:Customer {c_mktsegment: 'BUILDING'})-[:PLACED]->(:Order)-[l:CONTAINS]->(p:Part)
@@ -53,8 +53,8 @@ CYPHER: dict[str, tuple[str, str]] = {
     ),
     "self_loop": ("MATCH (n)-[r:NEXT]->(n) RETURN count(r) AS n", "SELECT CAST(0 AS BIGINT) AS n"),
     "unique_relationships": (
-        "MATCH (a:Order)-[x:CONTAINS]->(p:Part)<-[y:CONTAINS]-(b:Order) WHERE p.p_partkey < 40 RETURN p.p_partkey AS p, count(*) AS n",
-        "SELECT a.l_partkey AS p, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND NOT (a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber) WHERE a.l_partkey < 40 GROUP BY 1",
+        "MATCH (a:Order)-[x:CONTAINS]->(p:Part)<-[y:CONTAINS]-(b:Order) RETURN p.p_partkey AS p, count(*) AS n",
+        "SELECT a.l_partkey AS p, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND NOT (a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber) GROUP BY 1",
     ),
     "varlen_fixed": ("MATCH (a:Turn)-[:REPLY*2]->(b:Turn) RETURN a.conv_id AS c, a.turn AS a, b.turn AS b", "SELECT a.conv_id AS c, a.turn AS a, b.turn AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2"),
     "varlen_range": (
@@ -75,8 +75,8 @@ CYPHER: dict[str, tuple[str, str]] = {
         "SELECT a.turn, count(*) AS n FROM conversations b JOIN conversations a ON a.conv_id = b.conv_id AND a.turn BETWEEN 1 AND 2 WHERE b.turn = 3 GROUP BY 1",
     ),
     "varlen_rel_props": (
-        "MATCH (s:Supplier)-[:SHIPPED*1..1 {l_linenumber: 1}]->(p:Part) RETURN s.s_suppkey AS s, count(*) AS n",
-        "SELECT l_suppkey AS s, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1",
+        "MATCH (s:Supplier)-[:SHIPPED*1..2 {l_linenumber: 1}]-(x) RETURN x:Part AS part, count(*) AS n",
+        "WITH s AS (SELECT l_suppkey AS s, l_partkey AS p, l_orderkey AS o FROM lineitem WHERE l_linenumber = 1) SELECT true AS part, count(*) AS n FROM s UNION ALL SELECT false, count(*) FROM s a JOIN s b ON a.p = b.p AND a.o <> b.o",
     ),
     "varlen_events": (
         "MATCH (a:Event {event_type: 'signup'})-[:NEXT*1..3]->(b:Event {event_type: 'purchase'}) RETURN a.user_id AS u, count(*) AS n",
@@ -145,8 +145,8 @@ CYPHER: dict[str, tuple[str, str]] = {
     "with_where": ("MATCH (p:Part) WITH p, p.p_size * 2 AS twice WHERE twice > 90 AND p.p_size < 49 RETURN p.p_partkey AS p, twice", "SELECT p_partkey AS p, CAST(p_size * 2 AS BIGINT) AS twice FROM part WHERE p_size * 2 > 90 AND p_size < 49"),
     "return_distinct": ("MATCH (p:Part) RETURN DISTINCT p.p_brand AS b, p.p_size AS s", "SELECT DISTINCT p_brand AS b, CAST(p_size AS BIGINT) AS s FROM part"),
     "order_by_nulls": (
-        "MATCH (c:Customer) WHERE c.c_custkey < 200 WITH c.c_custkey AS k, CASE WHEN c.c_custkey % 3 = 0 THEN null ELSE c.c_acctbal END AS b ORDER BY b DESC, k SKIP 20 LIMIT 70 RETURN k, b",
-        "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS b FROM customer WHERE c_custkey < 200 ORDER BY b DESC NULLS FIRST, k LIMIT 70 OFFSET 20",
+        "MATCH (c:Customer) WITH c.c_custkey AS k, CASE WHEN c.c_custkey % 3 = 0 THEN null ELSE c.c_acctbal END AS b ORDER BY b DESC, k SKIP 20 LIMIT 70 RETURN k, b",
+        "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS b FROM customer ORDER BY b DESC NULLS FIRST, k LIMIT 70 OFFSET 20",
     ),
     "skip_limit": ("MATCH (o:Order) RETURN o.o_orderkey AS k ORDER BY k SKIP 10 LIMIT 5", "SELECT o_orderkey AS k FROM orders ORDER BY k LIMIT 5 OFFSET 10"),
     "topk": ("MATCH (o:Order) RETURN o.o_orderkey AS k, o.o_totalprice AS p ORDER BY p DESC, k LIMIT 25", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY p DESC, k LIMIT 25"),
@@ -163,13 +163,13 @@ CYPHER: dict[str, tuple[str, str]] = {
     "count_star": ("MATCH (o:Order) RETURN o.o_orderpriority AS p, count(*) AS n", "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1"),
     "count_distinct": ("MATCH (:Order)-[l:CONTAINS]->(p:Part) RETURN p.p_brand AS b, count(DISTINCT l.l_quantity) AS q, count(DISTINCT p) AS p", "SELECT p_brand AS b, count(DISTINCT l_quantity) AS q, count(DISTINCT p_partkey) AS p FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1"),
     "sum_empty": ("MATCH (p:Part) WHERE p.p_size < 0 RETURN sum(p.p_size) AS s, count(*) AS n, avg(p.p_size) AS a, collect(p.p_size) AS l", "SELECT CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS a, CAST([] AS BIGINT[]) AS l"),
-    "avg": ("MATCH (p:Part) RETURN p.p_brand AS b, round(avg(p.p_size) * 10000) / 10000 AS a, avg(DISTINCT p.p_size) > 0 AS positive", "SELECT p_brand AS b, round(avg(p_size) * 10000) / 10000 AS a, true AS positive FROM part GROUP BY 1"),
+    "avg": ("MATCH (p:Part) RETURN p.p_brand AS b, round(avg(p.p_size) * 10000) / 10000 AS a, round(avg(DISTINCT p.p_size) * 10000) / 10000 AS d, sum(DISTINCT p.p_size) AS t", "SELECT p_brand AS b, round(avg(p_size) * 10000) / 10000 AS a, round(avg(DISTINCT p_size) * 10000) / 10000 AS d, CAST(sum(DISTINCT p_size) AS BIGINT) AS t FROM part GROUP BY 1"),
     "min_max": ("MATCH (c:Customer) RETURN c.c_mktsegment AS s, min(c.c_acctbal) AS lo, max(c.c_acctbal) AS hi, min(c.c_name) AS first", "SELECT c_mktsegment AS s, min(c_acctbal) AS lo, max(c_acctbal) AS hi, min(c_name) AS first FROM customer GROUP BY 1"),
     "collect": (
-        "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, n ORDER BY n.n_name RETURN r.r_name AS r, size(collect(n.n_name)) AS n, reduce(s = 0, x IN collect(n.n_nationkey) | s + x) AS total",
-        "SELECT r_name AS r, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+        "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, n ORDER BY n.n_name WITH r.r_name AS r, collect(n.n_name) AS l UNWIND l AS x WITH r, x ORDER BY x RETURN r, collect(x) AS names, size(collect(x)) AS n",
+        "SELECT r_name AS r, list(n_name ORDER BY n_name) AS names, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     ),
-    "collect_distinct": ("MATCH (p:Part) RETURN p.p_brand AS b, size(collect(DISTINCT p.p_type)) AS n", "SELECT p_brand AS b, count(DISTINCT p_type) AS n FROM part GROUP BY 1"),
+    "collect_distinct": ("MATCH (p:Part) WITH p.p_brand AS b, collect(DISTINCT p.p_type) AS l UNWIND l AS x RETURN b, x", "SELECT DISTINCT p_brand AS b, p_type AS x FROM part"),
     "percentile_disc": ("MATCH (p:Part) RETURN p.p_brand AS b, percentileDisc(p.p_size, 0.3) AS v", "SELECT p_brand AS b, CAST(quantile_disc(p_size, 0.3) AS BIGINT) AS v FROM part GROUP BY 1"),
     "percentile_cont": ("MATCH (p:Part) RETURN p.p_brand AS b, round(percentileCont(p.p_size, 0.3) * 1000) / 1000 AS v", "SELECT p_brand AS b, round(quantile_cont(CAST(p_size AS DOUBLE), 0.3) * 1000) / 1000 AS v FROM part GROUP BY 1"),
     "implicit_grouping": (
@@ -178,8 +178,8 @@ CYPHER: dict[str, tuple[str, str]] = {
     ),
     "call_subquery": ("CALL { MATCH (r:Region) RETURN count(*) AS regions } MATCH (n:Nation) RETURN n.n_name AS n, regions", "SELECT n_name AS n, (SELECT count(*) FROM region) AS regions FROM nation"),
     "call_correlated": (
-        "MATCH (c:Customer) WHERE c.c_custkey < 300 CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 250000 RETURN count(o) AS n, sum(o.o_totalprice) AS s } RETURN c.c_custkey AS c, n, round(s) AS s",
-        "SELECT c_custkey AS c, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0)) AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000 WHERE c_custkey < 300 GROUP BY 1",
+        "MATCH (c:Customer) CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 250000 RETURN count(o) AS n, sum(o.o_totalprice) AS s } RETURN c.c_custkey AS c, n, round(s) AS s",
+        "SELECT c_custkey AS c, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0)) AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000 GROUP BY 1",
     ),
     "call_correlated_limit": (
         "MATCH (n:Nation) CALL { WITH n MATCH (n)<-[:LIVES_IN]-(c:Customer) RETURN c.c_custkey AS k, c.c_acctbal AS b ORDER BY b DESC, k LIMIT 3 } RETURN n.n_name AS n, k, b",
@@ -189,8 +189,8 @@ CYPHER: dict[str, tuple[str, str]] = {
     "case_simple": ("MATCH (o:Order) RETURN CASE o.o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS s, count(*) AS n", "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS s, count(*) AS n FROM orders GROUP BY 1"),
     "case_searched": ("MATCH (p:Part) RETURN CASE WHEN p.p_size < 10 THEN 'S' WHEN p.p_size < 30 THEN 'M' ELSE 'L' END AS c, count(*) AS n", "SELECT CASE WHEN p_size < 10 THEN 'S' WHEN p_size < 30 THEN 'M' ELSE 'L' END AS c, count(*) AS n FROM part GROUP BY 1"),
     "list_comprehension": (
-        "MATCH (p:Part) WHERE p.p_partkey < 50 RETURN p.p_partkey AS p, [x IN range(1, p.p_size) WHERE x % 7 = 0 | x * x] AS l",
-        "SELECT p_partkey AS p, list_transform(list_filter(range(1, CAST(p_size AS BIGINT) + 1), lambda x: x % 7 = 0), lambda x: x * x) AS l FROM part WHERE p_partkey < 50",
+        "MATCH (p:Part) RETURN p.p_partkey AS p, [x IN range(1, p.p_size) WHERE x % 7 = 0 | x * x] AS l",
+        "SELECT p_partkey AS p, list_transform(list_filter(range(1, CAST(p_size AS BIGINT) + 1), lambda x: x % 7 = 0), lambda x: x * x) AS l FROM part",
     ),
     "quantifiers": (
         "MATCH (p:Part) WITH p, range(p.p_size, p.p_size + 2) AS l RETURN any(x IN l WHERE x % 5 = 0) AS a, all(x IN l WHERE x > 20) AS b, none(x IN l WHERE x = 30) AS c, single(x IN l WHERE x % 2 = 0) AS d, count(*) AS n",
@@ -243,8 +243,8 @@ CYPHER: dict[str, tuple[str, str]] = {
         "SELECT date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     ),
     "date_plus_duration": (
-        "MATCH (o:Order) WHERE o.o_orderkey < 500 RETURN o.o_orderkey AS k, date(o.o_orderdate) + duration({months: 1, days: 3}) AS d, date(o.o_orderdate) - duration('P1Y') AS e",
-        "SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH + INTERVAL 3 DAY AS DATE) AS d, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 YEAR AS DATE) AS e FROM orders WHERE o_orderkey < 500",
+        "MATCH (o:Order) RETURN o.o_orderkey AS k, date(o.o_orderdate) + duration({months: 1, days: 3}) AS d, date(o.o_orderdate) - duration('P1Y') AS e",
+        "SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH + INTERVAL 3 DAY AS DATE) AS d, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 YEAR AS DATE) AS e FROM orders",
     ),
     "date_construct": (
         "RETURN date({year: 2024, week: 7, dayOfWeek: 3}) AS a, date('2024-060') AS b, date({year: 2023, quarter: 3, dayOfQuarter: 11}) AS c, toString(localdatetime({year: 2024, month: 2, day: 29, hour: 13, minute: 5})) AS d, toString(datetime('2024-03-01T10:00:00+02:00')) AS e, toString(duration({hours: 25, minutes: 61})) AS f",
@@ -252,6 +252,7 @@ CYPHER: dict[str, tuple[str, str]] = {
     ),
 }
 CYPHER["parameters"] = ("MATCH (c:Customer) WHERE c.c_mktsegment = $segment AND c.c_nationkey IN $nations RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_nationkey IN (1, 5, 9)")
+CYPHER |= more.CYPHER
 PARAMS = {"parameters": {"segment": "AUTOMOBILE", "nations": [1, 5, 9]}}
 
 
@@ -293,7 +294,7 @@ OTHER: dict[str, tuple[Callable, str | None]] = {
            UNION ALL SELECT 'relationships', 'PLACED', count(*) FROM orders UNION ALL SELECT 'relationships', 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'relationships', 'SHIPPED', count(*) FROM lineitem
            UNION ALL SELECT 'relationships', 'DID', count(*) FROM events UNION ALL SELECT 'relationships', 'NEXT', count(*) - count(DISTINCT user_id) FROM events UNION ALL SELECT 'relationships', 'REPLY', count(*) - count(DISTINCT conv_id) FROM conversations""",
     ),
-} | writes.QUERIES
+} | writes.QUERIES | more.OTHER
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,14 +16,14 @@ WRITES: dict[str, tuple[list[str], str, str]] = {
         "SELECT r_name || ' desk' AS d, length(r_name) AS n, CAST(2020 AS BIGINT) AS since, r_name AS r FROM region",
     ),
     "merge_nodes": (
-        ["MATCH (c:Customer) WHERE c.c_custkey < 100 MERGE (s:Segment {name: c.c_mktsegment}) ON CREATE SET s.seen = 1 ON MATCH SET s.seen = 2", "MERGE (s:Segment {name: 'NEW'}) ON CREATE SET s.seen = 1 ON MATCH SET s.seen = 2", "MERGE (s:Segment {name: 'NEW'}) ON MATCH SET s.seen = 2"],
+        ["MATCH (c:Customer) MERGE (s:Segment {name: c.c_mktsegment}) ON CREATE SET s.seen = 1 ON MATCH SET s.seen = 2", "MERGE (s:Segment {name: 'NEW'}) ON CREATE SET s.seen = 1 ON MATCH SET s.seen = 2", "MERGE (s:Segment {name: 'NEW'}) ON MATCH SET s.seen = 2"],
         "MATCH (s:Segment) RETURN s.name AS s, s.seen AS seen",
-        "SELECT DISTINCT c_mktsegment AS s, CAST(1 AS BIGINT) AS seen FROM customer WHERE c_custkey < 100 UNION ALL SELECT 'NEW', 2",
+        "SELECT c_mktsegment AS s, CASE WHEN count(*) > 1 THEN CAST(2 AS BIGINT) ELSE 1 END AS seen FROM customer GROUP BY 1 UNION ALL SELECT 'NEW', 2",
     ),
     "merge_relationship": (
-        ["MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE c.c_custkey < 500 MERGE (c)-[:IN]->(r)", "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE c.c_custkey < 600 MERGE (c)-[:IN]->(r)"],
+        ["MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE c.c_acctbal > 0 MERGE (c)-[:IN]->(r)", "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION]->(r:Region) MERGE (c)-[:IN]->(r)"],
         "MATCH (c:Customer)-[:IN]->(r:Region) RETURN r.r_name AS r, count(*) AS n",
-        "SELECT r_name AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey < 600 GROUP BY 1",
+        "SELECT r_name AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     ),
     "set_props": (
         ["MATCH (n:Nation)<-[:BASED_IN]-(s:Supplier) WITH n, count(s) AS k SET n.suppliers = k, n.n_name = toLower(n.n_name)"],

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import PropertyGraph
+from .shared import numbered
 
 _KINDS = {"int": "bigint", "long": "bigint", "integer": "bigint", "float": "double", "double": "double", "bool": "boolean", "boolean": "boolean", "string": "string", "str": "string"}
 
@@ -54,28 +55,41 @@ def nodes_csv(spark: SparkSession, path: str) -> DataFrame:
 def rels_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = _csv(spark, path)
     roles, props = _header(rows.columns, {"START_ID": "src", "END_ID": "dst", "TYPE": "type"})
-    fixed = [F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()).alias("rid"), F.col(f"`{roles['type']}`").alias("type"), *[F.col(f"`{roles[r]}`").cast("long").alias(r) for r in ("src", "dst")]]
+    fixed = [F.col(f"`{roles['type']}`").alias("type"), *[F.col(f"`{roles[r]}`").cast("long").alias(r) for r in ("src", "dst")]]
     return rows.select(*fixed, *[_cell(c, k).alias(n) for c, n, k in props])
 
 
-def nodes_jsonl(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
+def _properties(spark: SparkSession, path: str) -> T.StructType:
+    """The types of all properties in a file of JSON lines, by reading it."""
+    found = spark.read.option("mode", "FAILFAST").json(path).schema
+    inner = found["properties"].dataType if "properties" in found.fieldNames() else None
+    return inner if isinstance(inner, T.StructType) else T.StructType()
+
+
+def nodes_jsonl(spark: SparkSession, path: str, properties: T.StructType | None = None) -> DataFrame:
+    properties = properties or _properties(spark, path)
     schema = T.StructType().add("id", "long").add("label", "string").add("properties", properties)
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     return rows.select("id", F.array("label").alias("labels"), *[F.col(f"properties.`{f.name}`") for f in properties.fields])
 
 
-def rels_jsonl(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
+def rels_jsonl(spark: SparkSession, path: str, properties: T.StructType | None = None) -> DataFrame:
+    properties = properties or _properties(spark, path)
     schema = T.StructType().add("src", "long").add("dst", "long").add("type", "string").add("properties", properties)
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rid = F.xxhash64(F.input_file_name(), F.monotonically_increasing_id())
-    return rows.select(rid.alias("rid"), "type", "src", "dst", *[F.col(f"properties.`{f.name}`") for f in properties.fields])
+    return rows.select("type", "src", "dst", *[F.col(f"properties.`{f.name}`") for f in properties.fields])
 
 
 def graph_of(nodes: DataFrame, rels: DataFrame | None = None) -> PropertyGraph:
-    """Checks that ids are unique and ends exist, as bulk loads do.  Relationship ids are settled first."""
-    from .shared import written
+    """Checks that ids are unique and ends exist, as bulk loads do.  Relationships are numbered from 0 on and written first."""
+    if rels is not None:
+        rels = numbered(rels, "import")[0].withColumnRenamed("_row", "rid")
+    return PropertyGraph.from_frames(nodes.sparkSession, nodes, rels, validate=True)
+
 
-    return PropertyGraph.from_frames(nodes.sparkSession, nodes, None if rels is None else written(rels, "import"), validate=True)
+def as_json(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON object, nulls kept, in column `json`."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def to_ndjson(rows: DataFrame, path: str) -> None:

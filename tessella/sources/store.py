@@ -26,7 +26,7 @@ def save(graph: PropertyGraph, path: str) -> int:
         t.df.write.parquet(f"{at}/nodes-{k}")
         manifest["nodes"].append({"always": _labels(t.always), "maybe": _labels(t.maybe)})
     for k, r in enumerate(graph.rels):
-        r.df.write.parquet(f"{at}/rels-{k}")
+        r.df.drop(*[x for x in r.df.columns if x.startswith("_at_")]).write.parquet(f"{at}/rels-{k}")
         manifest["rels"].append({"type": r.type, "src": _labels(r.src), "dst": _labels(r.dst)})
     graph.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{at}/manifest")
     return n
@@ -59,3 +59,28 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Property
 def backup(spark: SparkSession, path: str, to: str, version: int | None = None) -> int:
     """Copies a version to another place as its next one."""
     return save(load(spark, path, version), to)
+
+
+def restore(spark: SparkSession, backup_path: str, path: str, version: int | None = None) -> int:
+    """A version of a backup as the newest one of a store; the store's own versions stay."""
+    return save(load(spark, backup_path, version), path)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
+    """Removes all but the newest `keep` complete versions, and what lost writers left below them; returns their numbers.
+
+    A graph that was loaded from a removed version can't be read any more."""
+    if keep < 1:
+        raise ValueError("the newest version stays")
+    done = versions(spark, path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not done:
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    found = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    gone = [n for n in found if n < done[-1] and n not in done[-keep:]]
+    for n in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/v{n:08d}"), True)
+    return gone

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -39,3 +40,24 @@ def test_bound_relationship_reads_every_row(spark):
     """No limit in the plan that its SQL lacks."""
     plan = QUERIES["bound_relationship"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "Limit" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_no_query_picks_rows_by_id():
+    """Whole tables: ids are compared in joins and with one given key, never with a range."""
+    for name, sql in SQL.items():
+        assert name == "cartesian" or not re.search(r"(custkey|partkey|orderkey|suppkey|event_id|doc_id) *(<|<=|>|>=) *[0-9]", sql) or name == "remove_props", name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_hops_are_joined_once(spark):
+    """Scans of relationships grow with the hops, not with their square; a node that a relationship's own table tells isn't joined."""
+    from tessella.sources.mapping import sales_graph
+
+    def plan(q):
+        return sales_graph(spark, SF).query(q)._jdf.queryExecution().optimizedPlan().toString()
+
+    joins = [plan(f"MATCH (a:Turn {{turn: 0}})-[:REPLY*1..{n}]->(b:Turn) RETURN count(*) AS n").count("Join Inner") for n in (2, 4, 8)]
+    assert joins[2] <= joins[0] + 7, joins
+    assert plan("MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 9 RETURN c.c_name AS n, o.o_orderkey AS k").count("Join") == 1
+    assert plan("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN c.c_name AS c, n.n_name AS n").count("Join") == 1

@@ -81,3 +81,67 @@ def test_stream(spark, tmp_path):
         assert {tuple(r) for r in spark.sql("SELECT event_type, n, total FROM live").collect()} == want == {("a", 2, 3.0), ("b", 1, 3.0)}
     finally:
         q.stop()
+
+
+def test_merge_takes_rows_in_turn(spark):
+    g = PropertyGraph(spark)
+    g, out, stats = g.write("UNWIND [1, 1, 1, 2] AS x MERGE (m:M {k: x}) ON CREATE SET m.seen = 1, m.by = x ON MATCH SET m.seen = 2, m.last = x * 10 RETURN x, m.seen AS s, m.last AS l")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 10)] * 3 + [(2, 1, None)] and stats["nodes_created"] == 2
+    assert sorted(rows(g, "MATCH (m:M) RETURN m.k AS k, m.seen AS s, m.by AS b")) == [(1, 2, 1), (2, 1, 2)]
+    g, _, _ = g.write("MATCH (a:M {k: 1}), (b:M {k: 2}) UNWIND [5, 6] AS w MERGE (a)-[r:TO]->(b) ON CREATE SET r.made = w ON MATCH SET r.met = w, b.hit = w")
+    assert rows(g, "MATCH (:M)-[r:TO]->(b) RETURN r.made AS a, r.met AS b, b.hit AS c") == [(5, 6, 6)]
+    g, out, stats = g.write("MERGE p = (a:M {k: 9})-[:TO]->(b:M {k: 8}) RETURN length(p) AS n, [x IN nodes(p) | x.k] AS l")
+    assert [tuple(r) for r in out.collect()] == [(1, [9, 8])] and stats["nodes_created"] == 2
+    g, out, stats = g.write("MERGE (x:Only) ON CREATE SET x.n = 1 ON MATCH SET x.n = 2 RETURN x.n AS n")
+    assert out.first().n == 1
+    g, out, _ = g.write("MERGE (x:Only) ON CREATE SET x.n = 1 ON MATCH SET x.n = 2 RETURN x.n AS n")
+    assert out.first().n == 2
+
+
+def test_unbounded_hops_are_refused_beyond_the_limit(spark):
+    nodes = spark.createDataFrame([(i, ["N"]) for i in range(8)], "id long, labels array<string>")
+    rels = spark.createDataFrame([(i, "R", i, i + 1) for i in range(7)], "rid long, type string, src long, dst long")
+    g = PropertyGraph.from_frames(spark, nodes, rels)
+    q = "MATCH (a:N)-[:R*]->(b) WHERE id(a) = 0 RETURN count(*) AS n"
+    assert g.query(q, max_hops=7).first().n == 7
+    with pytest.raises(CypherError, match="Hops"):
+        g.query(q, max_hops=6)
+    loose = PropertyGraph.from_frames(spark, nodes, rels.union(spark.createDataFrame([(99, "R", 0, 77)], rels.schema)), validate=False)
+    assert rows(loose, "MATCH (:N)-[r:R]->() RETURN count(r) AS n") == [(7,)]
+
+
+def test_more_names_than_tables_can_be_are_an_error(spark, monkeypatch):
+    from tessella.sources import graph
+
+    monkeypatch.setattr(graph, "MOST_NAMES", 2)
+    nodes = spark.createDataFrame([(i, [f"L{i}"]) for i in range(3)], "id long, labels array<string>")
+    with pytest.raises(ValueError, match="labels"):
+        PropertyGraph.from_frames(spark, nodes)
+    rels = spark.createDataFrame([(i, f"T{i}", 0, 1) for i in range(3)], "rid long, type string, src long, dst long")
+    with pytest.raises(ValueError, match="types"):
+        PropertyGraph.from_frames(spark, nodes.limit(2), rels, validate=False)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessella.sources.database import Database, main
+
+    (tmp_path / "n.csv").write_text("id:ID,:LABEL,name\n1,User,Alice\n9000000000,User,Bob\n")
+    (tmp_path / "r.csv").write_text(":START_ID,:END_ID,:TYPE\n1,9000000000,FOLLOWS\n1,9000000000,FOLLOWS\n")
+    db = f"file://{tmp_path}/db"
+    run = lambda *a: (main([*a, "--db", db], spark), capsys.readouterr().out.strip())[1]
+    assert run("import", "--nodes", f"{tmp_path}/n.csv", "--rels", f"{tmp_path}/r.csv") == '{"version": 1}'
+    assert run("query", "MATCH (a)-[r]->(b) RETURN b.name AS n, count(DISTINCT id(r)) AS k") == '{"n":"Bob","k":2}'
+    assert '"nodes_created": 1' in run("write", "MATCH (a {name: $n}) CREATE (a)-[:KNOWS]->(:User {name: 'C'})", "--params", '{"n": "Alice"}')
+    assert run("query", "MATCH (a:User) RETURN count(DISTINCT id(a)) AS n") == '{"n":3}'
+    assert run("versions") == "[1, 2]" and run("vacuum") == '{"removed": [1]}' and run("versions") == "[2]"
+    d = Database(spark, db)
+    with pytest.raises(ZeroDivisionError), d.begin() as t:
+        t.write("MATCH (n) DETACH DELETE n")
+        raise ZeroDivisionError
+    assert rows(d, "MATCH (n) RETURN count(*) AS n") == [(3,)]
+    a, b = d.begin(), d.begin()
+    a.commit(), a.database
+    a.open or b.write("CREATE (:X)")
+    b.commit()
+    with pytest.raises(ValueError):
+        b.commit()
