@@ -11,14 +11,17 @@ never made; the few documents with a register still empty then go on with a larg
 Equal normalised texts are one class representative before any signature is made.  Registers are
 banded; in a bucket each document meets the bucket's smallest one, and pairs are verified on their
 whole shingle multisets.  What a bucket's smallest member doesn't settle (buckets whose documents
-are in several components yet) is settled by all pairs of different components that the metric
-1 - similarity leaves open, prefiltered by signatures.  Components are found by label propagation
-over written tables.
+are in several components yet) is settled block by block: a bucket is dealt into lots of about LOT
+documents, each pair of lots goes to one task, and the task computes there all similarities between
+different components that the metric 1 - similarity leaves open, each pair in the first band that it
+shares.  No pair is ever a row; a block gives the links of a spanning forest.  So the rows that move
+grow with n * n / LOT in a bucket of n documents of several components, and nothing is left out.
+Components are found by label propagation over written tables.
 
 Texts are lower case; words are runs of letters, digits and marks other than white space.  Texts
 of one to four words are one shingle.  Null texts and texts without words are each their own class.
 Extra columns are ignored.  Rows of one doc_id keep a row each; where their texts
-differ, one of them stands for the doc_id.  Rows of a null doc_id are left out.
+differ, a copy of another document's text counts as such, else the text of the smallest hash stands for the doc_id.  Rows of a null doc_id are left out.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ from . import common
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 6
 REGISTERS = BANDS * ROWS
-#: Of all registers, how many must agree for a pair to be verified: 0.8 less four and a half deviations.
-LEAST_AGREEING = int(REGISTERS * (SIMILAR - 4.5 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5))
+#: Documents of a bucket that one task compares with as many others at most, about.
+LOT = 200
 _U = np.uint64
 _WORD_B = pow(0x9E3779B97F4A7C15 | 1, 1, 1 << 64)
 
@@ -156,9 +159,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def read_documents(docs: DataFrame) -> DataFrame:
-    """doc, ka, kb (128 bits of the word sequence), bands (BANDS hashes), sig (the lowest byte of each register).
+    """doc, th (a hash of the text), ka, kb (128 bits of the word sequence), bands (BANDS hashes).
 
-    Documents without words have null keys and no signature; rows of a null doc_id are left out."""
+    Documents without words have null keys and no bands; rows of a null doc_id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, rows=500, size=2 << 20):
@@ -167,37 +170,19 @@ def read_documents(docs: DataFrame) -> DataFrame:
             some = [k for k, w in enumerate(words) if len(w)]
             keys = [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words]
             bands: list[np.ndarray | None] = [None] * len(words)
-            sigs: list[bytes | None] = [None] * len(words)
             if some:
                 s = signatures_of([bags[k] for k in some])
                 key = np.zeros((len(some), BANDS), _U)
                 for k in range(ROWS):
                     key = mix(key * _U(0x2545F4914F6CDD1D) + s[:, k : BANDS * ROWS : ROWS])
-                low = s.astype(np.uint8)
                 for n, k in enumerate(some):
-                    bands[k], sigs[k] = key[n].view(np.int64), low[n].tobytes()
+                    bands[k] = key[n].view(np.int64)
             ints = [(None, None) if k is None else struct.unpack("<qq", k) for k in keys]
-            cols = [b.column("doc"), pa.array([a for a, _ in ints], pa.int64()), pa.array([c for _, c in ints], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "ka", "kb", "bands", "sig"])
+            cols = [b.column("doc"), b.column("th"), pa.array([a for a, _ in ints], pa.int64()), pa.array([c for _, c in ints], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "ka", "kb", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL")
-    return common.in_arrow(rows, run, "doc long, ka long, kb long, bands array<long>, sig binary")
-
-
-def agreeing(pairs: DataFrame, sigs: DataFrame, least: int = LEAST_AGREEING) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in `least` registers or more."""
-    s = sigs.select("doc", "sig")
-    rows = pairs.join(s.withColumnsRenamed({"doc": "a", "sig": "sa"}), "a").join(s.withColumnsRenamed({"doc": "b", "sig": "sb"}), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, "sa", rows=20_000):
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            keep = pa.array((x == y).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
-
-    return common.in_arrow(rows.select("a", "b", "sa", "sb"), run, "a long, b long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).where("doc IS NOT NULL")
+    return common.in_arrow(rows, run, "doc long, th long, ka long, kb long, bands array<long>")
 
 
 #: Has Spark sift the larger side of a join by a Bloom filter of the smaller one, of 4 MB, before the shuffle;
@@ -213,7 +198,7 @@ def texts_among(texts: DataFrame, used: DataFrame) -> DataFrame:
     """The texts of the documents in `used` (doc), a row each, as a table; other texts hardly reach the shuffle."""
     spark = texts.sparkSession
     if used.count() > SIFTED_DOCUMENTS:
-        return common.written(texts.join(used, "doc", "left_semi"), "texts").dropDuplicates(["doc"])
+        return common.written(texts.join(used, "doc", "left_semi"), "texts").groupBy("doc").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     before = {k: spark.conf.get(k) for k in _SIFTED}
     try:
         for k, x in _SIFTED.items():
@@ -223,7 +208,7 @@ def texts_among(texts: DataFrame, used: DataFrame) -> DataFrame:
     finally:
         for k, x in before.items():
             spark.conf.set(k, x)
-    return found.dropDuplicates(["doc"])
+    return found.groupBy("doc").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, share: int = 2000) -> DataFrame:
@@ -258,6 +243,111 @@ def verified(pairs: DataFrame, texts: DataFrame, share: int = 2000) -> DataFrame
     return common.in_arrow(rows.select("a", "b", "text"), run, "a long, b long, j double")
 
 
+def _items(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of an item, its multiset) for items that several multisets have; a shingle of weight w is w items."""
+    h = np.concatenate([np.repeat(h, w) for h, w in bags])
+    owner = np.repeat(np.arange(len(bags)), [int(w.sum()) for _, w in bags])
+    level = np.concatenate([np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w) for _, w in bags]).astype(_U)
+    _, number, n = np.unique(mix(h + level * _U(0xE7037ED1A0B428DB)), return_inverse=True, return_counts=True)
+    keep = n[number] > 1
+    _, number = np.unique(number[keep], return_inverse=True)
+    return number, owner[keep]
+
+
+def similarities(bags: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Weighted Jaccard of the wanted pairs (a matrix of Booleans), 0 elsewhere."""
+    n = len(bags)
+    total = np.array([float(w.sum()) for _, w in bags])
+    both = np.zeros((n, n))
+    number, owner = _items(bags)
+    columns = int(number.max()) + 1 if len(number) else 0
+    if wanted.sum() * 70e-6 < n * n * columns * 1e-10:  # few pairs: one by one
+        for i, j in np.argwhere(wanted).tolist():
+            both[i, j] = np.minimum(*_aligned(bags[i], bags[j])).sum()
+    else:
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], owner[order]
+        for low in range(0, columns, width):
+            a, b = np.searchsorted(number, [low, low + width])
+            x = np.zeros((n, width), np.float32)
+            x[owner[a:b], number[a:b] - low] = 1
+            both += x @ x.T  # counts below 2**24 are exact
+    return np.where(wanted, both / np.maximum(total[:, None] + total[None, :] - both, 1.0), 0.0)
+
+
+def _aligned(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return a[1][i], b[1][j]
+
+
+def _forest(links: np.ndarray, comp: list[int]) -> list[int]:
+    """Of links (rows of two places), those that join components that none before joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for k, (i, j) in enumerate(links.tolist()):
+        a, b = find(comp[i]), find(comp[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append(k)
+    return out
+
+
+def block_links(band: int, same_lot: bool, docs: list[int], lots: np.ndarray, comp: np.ndarray, j: np.ndarray, bands: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+    """Links between different components of one block's documents: within a lot, or between its two lots."""
+    wanted = comp[:, None] < comp[None, :]
+    wanted = wanted | wanted.T
+    wanted &= np.abs(j[:, None] - j[None, :]) <= 1 - SIMILAR + 1e-9
+    wanted &= np.triu(np.ones_like(wanted), 1) if same_lot else lots[:, None] < lots[None, :]
+    for k in range(band):  # met before
+        wanted &= bands[:, k][:, None] != bands[:, k][None, :]
+    used = np.flatnonzero(wanted.any(0) | wanted.any(1))
+    if not len(used):
+        return []
+    bags = [shingles(word_hashes(texts[k])) for k in used]
+    at = np.argwhere(similarities(bags, wanted[np.ix_(used, used)]) >= SIMILAR)
+    pairs = used[at]
+    return [(docs[pairs[k, 0]], docs[pairs[k, 1]]) for k in _forest(pairs, comp.tolist())]
+
+
+def settled(open_: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components in buckets: rows band, h, doc, comp, j (to the bucket's hub), n (its size)."""
+    lots = F.ceil(F.col("n") / LOT).cast("int")
+    rows = open_.withColumn("lots", lots).withColumn("lot", F.pmod(F.xxhash64("doc"), F.col("lots")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    rows = rows.select("band", "h", F.least("lot", "other").alias("x"), F.greatest("lot", "other").alias("y"), "lot", "doc", "comp", "j")
+    used = common.written(open_.select("doc").distinct(), "used")
+    found = texts_among(texts.select("doc", "text"), used).join(sigs.select("doc", "bands"), "doc")
+    rows = rows.join(common.written(found, "texts"), "doc").repartition(common.partitions(texts.sparkSession), "band", "h", "x", "y").sortWithinPartitions("band", "h", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def links() -> pa.RecordBatch:
+            found = []
+            if len(group) > 1:
+                docs, lots, comp, j, bands, texts_ = zip(*group)
+                found = block_links(key[0], key[2] == key[3], docs, np.array(lots), np.array(comp), np.array(j), np.array(bands), texts_)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in common.slices(batches):
+            columns = [batch.column(c).to_pylist() for c in ("band", "h", "x", "y", "lot", "doc", "comp", "j", "bands", "text")]
+            for band, h, x, y, lot, doc, comp, j, bands, text in zip(*columns):
+                if (band, h, x, y) != key:
+                    yield links()
+                    key, group = (band, h, x, y), []
+                group.append((doc, lot, comp, j, bands, text or ""))
+        yield links()
+
+    return common.in_arrow(rows.select("band", "h", "x", "y", "lot", "doc", "comp", "j", "bands", "text"), run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "labels", rounds: int = 60) -> DataFrame:
     """(doc, comp) of all documents in edges (a, b); comp is the smallest document.
 
@@ -289,11 +379,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     groups = read.where("ka IS NOT NULL").groupBy("ka", "kb").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("ka", "kb", "rep")
     groups = common.written(groups, "copies")
     copies = common.written(read.select("doc", "ka", "kb").join(groups, ["ka", "kb"]).where("doc <> rep").groupBy("doc").agg(F.min("rep").alias("rep")), "copies")
-    sigs = read.where("ka IS NOT NULL").join(copies, "doc", "left_anti").dropDuplicates(["doc"])
-    sigs = common.written(sigs.select("doc", "bands", "sig"), "signatures")
+    sigs = read.where("ka IS NOT NULL").join(copies, "doc", "left_anti")
+    sigs = common.written(sigs.groupBy("doc").agg(F.min_by("bands", "th").alias("bands")), "signatures")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = sigs.select("doc", F.posexplode("bands").alias("band", "h"))
-    hubs = common.written(buckets.groupBy("band", "h").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
+    hubs = common.written(buckets.groupBy("band", "h").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     placed = common.written(buckets.join(hubs, ["band", "h"]), "buckets")
     # each document with the smallest one of its bucket
     star = placed.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
@@ -304,14 +394,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     state = placed.join(first, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).join(known, ["hub", "doc"], "left").withColumn("j", F.coalesce("j", F.lit(1.0)))
     state = common.written(state, "state")
     split = state.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
-    open_ = common.written(state.join(split, ["band", "h"]).select("band", "h", "doc", "comp", "j", (F.col("doc") == F.col("hub")).alias("is_hub")).where("NOT is_hub"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp"))
-    on &= F.abs(F.col("x.j") - F.col("y.j")) <= 1 - SIMILAR + 1e-9
-    more = x.join(y, on).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(scored.select("a", "b"), ["a", "b"], "left_anti")
-    more = common.written(agreeing(more, sigs), "candidates")
-    if not more.isEmpty():
-        late = common.written(verified(more, texts).where(F.col("j") >= SIMILAR).select("a", "b"), "late")
+    open_ = common.written(state.join(split, ["band", "h"]).where("doc <> hub").select("band", "h", "doc", "comp", "j", "n"), "open")
+    if not open_.isEmpty():
+        late = common.written(settled(open_, sigs, texts), "late")
         if not late.isEmpty():
             first = components(late.union(first.select(F.col("doc").alias("a"), F.col("comp").alias("b"))))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc")).where("doc IS NOT NULL")

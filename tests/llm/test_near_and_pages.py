@@ -67,7 +67,54 @@ def test_classes_against_brute_force(spark, copies):
     assert kept.columns == SCHEMA.replace(",", "").split()[::2] and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_blocks_of_a_bucket(spark, copies, monkeypatch):
+    """Buckets dealt into lots of three documents give the same classes."""
+    monkeypatch.setattr(bagminhash, "LOT", 3)
+    got = {r.doc_id: r.class_id for r in bagminhash.report(frame(spark, copies)).collect()}
+    assert got == brute_classes(copies)
+
+
+def test_similarities_of_a_block():
+    rng = random.Random(4)
+    bags = [bagminhash.shingles(bagminhash.word_hashes(" ".join(rng.choices("abc", k=rng.randint(1, 60))))) for _ in range(30)]
+    wanted = np.triu(np.ones((30, 30), bool), 1)
+    want = [[bagminhash.similarity(a, b) if i < j else 0.0 for j, b in enumerate(bags)] for i, a in enumerate(bags)]
+    assert bagminhash.similarities(bags, wanted, 7).tolist() == want
+    few = np.zeros((30, 30), bool)
+    few[2, 5] = True
+    assert bagminhash.similarities(bags, few)[2, 5] == want[2][5]
+
+
+def test_recall_on_the_given_documents(spark):
+    """All pairs of the smallest real table by counts of shared shingles, against the classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bags = {r.doc_id: bagminhash.shingles(bagminhash.word_hashes(r.text or "")) for r in docs.collect()}
+    holders, shared = {}, {}
+    for i, (h, w) in bags.items():
+        for x, n in zip(h.tolist(), w.tolist()):
+            for j, m in holders.get(x, ()):
+                shared[i, j] = shared.get((i, j), 0) + min(n, m)
+            holders.setdefault(x, []).append((i, n))
+    total = {i: int(w.sum()) for i, (_, w) in bags.items()}
+    links = [p for p, n in shared.items() if n / (total[p[0]] + total[p[1]] - n) >= bagminhash.SIMILAR]
+    root = {i: i for i in bags}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.class_id for r in bagminhash.report(docs).collect()}
+    assert len(links) > 50 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    assert all(find(i) == find(c) for i, c in got.items())  # and nothing else is joined
+
+
 def test_corner_cases(spark):
+    two = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (2, "p q r s t u v w x"), (3, "one"), (3, "two")]
+    assert {r.doc_id for r in bagminhash.report(frame(spark, two)).collect()} == {1, 2, 3}
     assert bagminhash.report(frame(spark, [])).collect() == []
     again = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b"), (3, None)]
     assert sorted(tuple(r) for r in bagminhash.report(frame(spark, again)).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
