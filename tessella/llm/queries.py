@@ -38,7 +38,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_records(warc.write(warc.chunks(warc.plan(table(spark, sf_dir, "pages", "page_id", "url", "html")))))
+    return warc.read_records(warc.write(warc.ordered(warc.chunk_table(table(spark, sf_dir, "pages", "page_id", "url", "html")))))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """Operator 6: WARC archives through a chunked record table.
 
-Records travel as chunk rows: (record, chunk_no, last, total, data), at most CHUNK bytes each, in
-order within a partition.  Writers and readers carry running SHA-1 digests from chunk to chunk and
-never hold a whole payload in Python; each record is its own gzip member.  Of records with equal
-payloads of at least MIN_BYTES bytes, the one with the largest id is a response and the others
-revisit it; a revisit keeps the HTTP header, with the payload's length, but not the payload.
-
-Null payloads are empty.  Rows of a null page_id are left out.  Repeated (page_id, payload) rows are
-written each: all are responses where the id is the largest of its payload.  Extra columns are ignored.
+Pages become chunk rows right behind the scan: (row, record, chunk_no, last, url, total, sha1, data), at
+most CHUNK bytes each, where sha1 is the running digest up to the chunk, so the last chunk has the
+payload's.  The chunks are slices of the batch that the scan hands over: no payload is copied as a
+whole, and none is shuffled as one row.  The table is written once; from its last chunks alone (no
+data) the revisits are found, and chunk rows are then brought together by row and written in order.
+Writers and readers carry running SHA-1 digests from chunk to chunk too; each record is its own gzip
+member.  Of records with equal payloads of at least MIN_BYTES bytes, the one with the largest id is a
+response and the others revisit it; a revisit keeps the HTTP header, with the payload's length, but
+not the payload.
+
+Null payloads are empty.  Rows of a null page_id are left out: a record has an id.  Repeated (page_id,
+payload) rows are written each: all are responses where the id is the largest of its payload.  An empty
+table gives no archives.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +22,9 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,24 +34,61 @@ CHUNK, MIN_BYTES, FILE_BYTES = 256 << 10, 1000, 512 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def plan(pages: DataFrame, id_column: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
-    """record, url, payload (binary), total, sha1, refers_to (null: a response)."""
-    rows = pages.select(F.col(id_column).cast("long").alias("record"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload")).where("record IS NOT NULL")
-    rows = rows.withColumn("total", F.octet_length("payload").cast("long")).withColumn("sha1", F.unhex(F.sha1("payload")))
+_CHUNK_ROWS = "row long, record long, chunk_no int, last boolean, url string, total long, sha1 binary, data binary"
+
+
+def chunk_table(pages: DataFrame, id_column: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
+    """Chunk rows of all pages, as a written table; row tells records of one id apart, url stands in first chunks."""
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("record"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8").alias("payload")).where("record IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "payload"):
+            data = b.column("payload")
+            wide = pa.types.is_large_binary(data.type)
+            _, places, buffer = data.buffers()
+            at = np.frombuffer(places, np.int64 if wide else np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+            view = memoryview(buffer) if buffer is not None else memoryview(b"")
+            source, number, last, sums, cuts = [], [], [], [], [int(at[0])]
+            for k in range(len(data)):
+                sha, low, high, n = hashlib.sha1(), int(at[k]), int(at[k + 1]), 0
+                while True:
+                    end = min(high, low + CHUNK)
+                    sha.update(view[low:end])
+                    source.append(k)
+                    number.append(n)
+                    last.append(end == high)
+                    sums.append(sha.digest())
+                    cuts.append(end)
+                    low, n = end, n + 1
+                    if end == high:
+                        break
+            pieces = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(source), [None, pa.py_buffer(np.array(cuts, np.int64 if wide else np.int32)), buffer if buffer is not None else pa.py_buffer(b"")])
+            take = pa.array(source, pa.int64())
+            first = pa.array([n == 0 for n in number])
+            urls = pc.if_else(first, b.column("url").take(take), pa.scalar(None, b.column("url").type))
+            total = pa.array(np.diff(at)[source])
+            yield pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("record").take(take), pa.array(number, pa.int32()), pa.array(last), urls, total, pa.array(sums, pa.binary()), pieces], ["row", "record", "chunk_no", "last", "url", "total", "sha1", "data"])
+
+    return common.written(common.in_arrow(rows, run, _CHUNK_ROWS), "chunks")
+
+
+def plan(chunks: DataFrame) -> DataFrame:
+    """row, digest (of the whole payload), refers_to (null: a response), from the last chunks without their data."""
+    ends = chunks.where("last").select("row", "record", "total", F.col("sha1").alias("digest"))
     # only digests of several rows go on; a hot digest is one row here after map-side sums
-    chosen = pages.select(F.col(id_column).cast("long").alias("record"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload")).where(f"record IS NOT NULL AND octet_length(payload) >= {MIN_BYTES}")
-    chosen = chosen.groupBy(F.unhex(F.sha1("payload")).alias("sha1")).agg(F.max("record").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "response")
-    # ids only meet the chosen digests, so payloads aren't shuffled by a key that one payload may dominate
-    revisits = rows.where(f"total >= {MIN_BYTES}").select("record", "sha1").join(chosen, "sha1").where("record <> response")
-    return rows.join(revisits.groupBy("record", "sha1").agg(F.max("response").alias("refers_to")), ["record", "sha1"], "left")
-
-
-def chunks(records: DataFrame) -> DataFrame:
-    """Chunk rows of planned records, each record's together and in order; a revisit has one, without data."""
-    n = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("total") / CHUNK))).cast("int")
-    out = records.withColumn("n", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    data = F.when(F.col("refers_to").isNull(), F.expr(f"substring(payload, chunk_no * {CHUNK} + 1, {CHUNK})")).otherwise(F.lit(b""))
-    return out.select("record", "chunk_no", (F.col("chunk_no") == F.col("n") - 1).alias("last"), "url", "total", "sha1", "refers_to", data.alias("data"))
+    chosen = ends.where(f"total >= {MIN_BYTES}").groupBy("digest").agg(F.max("record").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "response")
+    revisits = ends.where(f"total >= {MIN_BYTES}").join(chosen, "digest").where("record <> response").select("row", F.col("response").alias("refers_to"))
+    return ends.select("row", "digest").join(revisits, "row", "left")
+
+
+def ordered(chunks: DataFrame) -> DataFrame:
+    """Chunk rows with their records' digests and revisits, each record's together and in order, for `write`."""
+    rows = chunks.drop("sha1").repartition(common.partitions(chunks.sparkSession), "row").join(plan(chunks), "row")
+    rows = rows.where("refers_to IS NULL OR chunk_no = 0")
+    empty = F.col("refers_to").isNotNull()
+    return rows.sortWithinPartitions("row", "chunk_no").select(
+        "record", "chunk_no", (F.col("last") | empty).alias("last"), "url", "total", F.col("digest").alias("sha1"), "refers_to", F.when(empty, F.lit(b"")).otherwise(F.col("data")).alias("data")
+    )
 
 
 def _urn(record: int) -> str:

@@ -118,7 +118,11 @@ def test_archives(spark, monkeypatch):
     big = "é" * 900
     pages = [(1, "u", big, 0), (2, "u", big, 0), (3, "u", "x" * 999, 0), (4, "u", "x" * 999, 0), (5, None, None, 0), (6, "u\r\nX: y", "", 0), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 400, 0), (None, "u", "gone", 0), (9, "u", big, 0)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, record int").repartition(3)
-    files = warc.write(warc.chunks(warc.plan(df)))
+    table = warc.chunk_table(df)
+    for r in table.collect():  # running digests, first chunks with urls
+        whole_ = next((h or "").encode() for p, _, h, _ in pages if p == r.record and len((h or "").encode()) == r.total)
+        assert bytes(r.sha1) == hashlib.sha1(whole_[: 500 * (r.chunk_no + 1)]).digest() and len(r.data) <= 500 and (r.url is None) == (r.chunk_no > 0)
+    files = warc.write(warc.ordered(table))
     got = {r.page_id: tuple(r)[1:] for r in warc.read_records(files).collect()}
     for page, _, html, _ in pages:
         if page is None:
@@ -135,7 +139,7 @@ def test_archives(spark, monkeypatch):
     assert all(len(r[8]) <= warc.CHUNK for f in files.collect() for r in warc.read_file(f.uri))
     raw = gzip.decompress(open(uri.removeprefix("file://"), "rb").read())
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: ")
-    empty = warc.write(warc.chunks(warc.plan(df.limit(0))))
+    empty = warc.write(warc.ordered(warc.chunk_table(df.limit(0))))
     assert warc.read_records(empty).collect() == []
 
 
