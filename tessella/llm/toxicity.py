@@ -226,8 +226,8 @@ def _wild_run(state, n: int, logp: np.ndarray, spaced: bool) -> list:
 
 
 _FLOORS: dict[int, tuple[np.ndarray, float]] = {}
-#: Letters that a run of wildcards at a token's end stands for, by model, context and run.
-_ENDINGS: dict[tuple[int, int, int], tuple[float, tuple[int, ...]]] = {}
+#: Scores of wildcards at a token's end under the model of _FLOORS, by their number.
+_RESTS: dict[int, np.ndarray] = {}
 
 
 def _floor(logp: np.ndarray) -> float:
@@ -235,7 +235,7 @@ def _floor(logp: np.ndarray) -> float:
     known = _FLOORS.get(id(logp))
     if known is None or known[0] is not logp:
         _FLOORS.clear()
-        _ENDINGS.clear()
+        _RESTS.clear()
         _FLOORS[id(logp)] = known = logp, float(logp.min())
     return known[1]
 
@@ -272,9 +272,7 @@ def _end(states: list, logp: np.ndarray) -> tuple:
     top, path = -math.inf, ()
     for state in states:
         if isinstance(state, _Dense):
-            last = logp[::LETTERS].astype(np.float64)
-            last[::LETTERS] = 0.0  # ended already
-            total = state.score + last
+            total = state.score + _ends(logp)
             k = int(total.argmax())
             score, found = total.item(k), (state, k)
         else:
@@ -284,29 +282,54 @@ def _end(states: list, logp: np.ndarray) -> tuple:
     return path
 
 
-def _ending(context: int, n: int, logp: np.ndarray) -> tuple[int, ...]:
-    """The letters of a token's last n wildcards after one context."""
+def _ends(logp: np.ndarray) -> np.ndarray:
+    """What ending the last word costs in each context."""
+    last = logp[::LETTERS].astype(np.float64)
+    last[::LETTERS] = 0.0  # ended already
+    return last
+
+
+def _best_rest(n: int, logp: np.ndarray) -> np.ndarray:
+    """The best score of n wildcards at a token's end, all of them letters, after each context."""
     _floor(logp)
-    key = (id(logp), context, n)
-    if key not in _ENDINGS:
-        if len(_ENDINGS) > 100_000:
-            _ENDINGS.clear()
-        _ENDINGS[key] = tuple(_letters(_end(_wild_run({context: (0.0, ())}, n, logp, False), logp)))
-    return _ENDINGS[key]
+    if n not in _RESTS:
+        rest = _ends(logp) if n == 0 else (logp.reshape(_CUBE, LETTERS)[:, 1:] + (_best_rest(n - 1, logp).reshape(_SQUARE, LETTERS)[np.arange(_CUBE) % _SQUARE, 1:] - _WILD_COST)).max(1)
+        _RESTS[n] = rest
+    return _RESTS[n]
+
+
+def _ending(live: dict[int, tuple[float, tuple]], n: int, logp: np.ndarray) -> tuple[tuple, tuple[int, ...]]:
+    """The best path up to a token's last n wildcards, and their letters."""
+    all_none = n * _WILD_COST > _WILD_NONE - 4.0 * _floor(logp)
+    top, path, context, letters = -math.inf, (), 0, False
+    for k, (s, t) in live.items():
+        if (x := s + _best_rest(0, logp).item(k) - _WILD_NONE) > top:
+            top, path, context, letters = x, t, k, False
+        if not all_none and (x := s + _best_rest(n, logp).item(k)) > top:
+            top, path, context, letters = x, t, k, True
+    if not letters:
+        return path, ()
+    out = []
+    for left in range(n - 1, -1, -1):
+        at = context % _SQUARE * LETTERS
+        x = 1 + int((logp[context * LETTERS + 1 : context * LETTERS + LETTERS] + (_best_rest(left, logp)[at + 1 : at + LETTERS] - _WILD_COST)).argmax())
+        out.append(x)
+        context = at + x
+    return path, tuple(out)
 
 
 def restore(token: str, logp: np.ndarray, spaced: bool = False) -> str:
     """The likeliest words behind a token, a to z, exact over all contexts; spaced: word ends may also fall between its characters."""
     state = {0: (0.0, ())}
-    at, tail = 0, ()
+    at = 0
     while at < len(token):
         n = 1
         while at + n < len(token) and token[at + n] == token[at]:
             n += 1
         if token[at] in _WILD:
-            if at + n == len(token) and isinstance(state, dict) and len(state) == 1 and not spaced:
-                tail = _ending(next(iter(state)), n, logp)
-                break
+            if at + n == len(token) and isinstance(state, dict) and not spaced:
+                path, tail = _ending(state, n, logp)
+                return _written([*_letters(path), *tail])
             none, *letters = _wild_run(state, n, logp, spaced and at > 0)
             state = _either(none, letters[0]) if letters else none
             at += n
@@ -320,8 +343,11 @@ def restore(token: str, logp: np.ndarray, spaced: bool = False) -> str:
             state = state.live()
         state = _step(state, ways, logp) if isinstance(state, dict) and len(state) * len(ways) <= 2000 else _wide_step(state, ways, logp)
         at += n
-    path = _end([state], logp)
-    return "".join(chr(96 + x) if x else " " for x in [*_letters(path), *tail]).strip()
+    return _written(_letters(_end([state], logp)))
+
+
+def _written(letters: list[int]) -> str:
+    return "".join(chr(96 + x) if x else " " for x in letters).strip()
 
 
 _TRIM = re.compile(r"^[^\w@$!|+€£]+|[^\w@$|+€£*]+$")
