@@ -69,7 +69,10 @@ def chunk_table(pages: DataFrame, id_column: str = "page_id", payload: str = "ht
             total = pa.array(np.diff(at)[source])
             yield pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("record").take(take), pa.array(number, pa.int32()), pa.array(last), urls, total, pa.array(sums, pa.binary()), pieces], ["row", "record", "chunk_no", "last", "url", "total", "sha1", "data"])
 
-    return common.written(common.in_arrow(rows, run, _CHUNK_ROWS), "chunks")
+    out = common.in_arrow(rows, run, _CHUNK_ROWS)
+    path = common.work_path(pages.sparkSession, "chunks")
+    out.write.option("compression", "zstd").parquet(path)  # all payloads once more: packed well
+    return pages.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def plan(chunks: DataFrame) -> DataFrame:
