@@ -3,6 +3,8 @@
 import glob
 import os
 import re
+import shutil
+from datetime import date, timedelta
 
 import duckdb
 import pytest
@@ -35,6 +37,32 @@ def test_query(spark, con, name):
     assert _rows(got) == _rows(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_duration_in_units_at_ends_of_months(spark, tmp_path):
+    """Both ways between dates around the ends of months, and null dates, against the SQL."""
+    where, own = str(tmp_path / "t"), duckdb.connect()
+    shutil.copytree(SF, where)
+    days = [date(y, m, 1) + timedelta(k) for y, m in ((2023, 3), (2024, 1), (2024, 2), (2024, 3), (2024, 5), (2025, 3)) for k in range(-4, 3)]
+    pairs = [(a, b) for a in days for b in days] + [(None, days[0]), (days[0], None)]
+    own.execute("CREATE TABLE pairs (k BIGINT, a DATE, b DATE)")
+    own.executemany("INSERT INTO pairs VALUES (?, ?, ?)", [(k, a, b) for k, (a, b) in enumerate(pairs)])
+    for name, key, column, day in (("orders", "o_orderkey", "o_orderdate", "a"), ("lineitem", "l_orderkey", "l_shipdate", "b")):
+        kind = own.execute(f"SELECT typeof({column}) FROM read_parquet('{SF}/{name}.parquet') LIMIT 1").fetchone()[0]
+        own.execute(f"COPY (SELECT t.* REPLACE (k AS {key}, CAST({day} AS {kind}) AS {column}) FROM pairs, (FROM read_parquet('{SF}/{name}.parquet') LIMIT 1) t) TO '{where}/{name}.parquet' (FORMAT parquet)")
+        own.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{where}/{name}.parquet')")
+    assert _rows(QUERIES["duration_in_units"](spark, where).toArrow()) == _rows(own.sql(SQL["duration_in_units"]).to_arrow_table())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_months_are_added_to_the_first_date(spark):
+    """duration.inMonths itself, as in the reference: back from the 29th of February the 31st of January is less than a month away."""
+    from tessella.sources.mapping import sales_graph
+
+    months = lambda a, b: f"duration.inMonths(date('{a}'), date('{b}')).months"
+    text = f"RETURN {months('2024-02-29', '2024-01-31')} AS a, {months('2024-01-31', '2024-02-29')} AS b, {months('2024-03-31', '2024-02-29')} AS c"
+    assert tuple(sales_graph(spark, SF).query(text).collect()[0]) == (0, 1, -1)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
 def test_bound_relationship_reads_every_row(spark):
     """No limit in the plan that its SQL lacks."""
