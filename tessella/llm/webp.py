@@ -7,8 +7,10 @@ serves a whole image, codes are decoded for all bit positions at once with numpy
 images with several groups are decoded pixel by pixel.
 
 `media` stores texts: UTF-8 padded with zero bytes to a positive multiple of 64, four bytes to a
-pixel (alpha, red, green, blue), 16 pixels to a row, wider for very long texts, with prefix codes
-fitted to the four channels and, for rows that repeat the row above, back-references.
+pixel (alpha, red, green, blue), 16 pixels to a row, wider for very long texts.  The encoder uses all
+that the decoder reads, each where it makes an image shorter: transforms chosen by entropy, copies
+from earlier places, a colour cache of the best of three sizes, and prefix codes fitted to each channel, by
+groups of tiles in longer images.
 `features` decodes the stored bytes and computes the digests from what it has read.
 
 Null texts are empty (one row of zero pixels).  Equal texts give equal values in all columns but
@@ -197,40 +199,45 @@ def fitted_lengths(counts: np.ndarray, most: int = 12) -> np.ndarray:
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    floor = 0
+    own, floor = counts[used], 0
     while True:
-        weight = sorted((max(n, floor), s) for n, s in zip(counts[used].tolist(), used.tolist()))
-        n = len(weight)
-        sums, up = [w for w, _ in weight], [0] * (2 * n - 1)
-        leaf, node = 0, n  # two queues: leaves and joined nodes, both ascending
+        weight = np.maximum(own, floor) if floor else own
+        order = np.argsort(weight, kind="stable")
+        sums, n = weight[order].tolist(), len(used)
+        up, leaf, node = [0] * (2 * n - 1), 0, n  # two queues: leaves and joined nodes, both ascending
         for k in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (node >= k or sums[leaf] <= sums[node]):
-                    total += sums[leaf]
-                    up[leaf] = k
-                    leaf += 1
-                else:
-                    total += sums[node]
-                    up[node] = k
-                    node += 1
+            if leaf < n and (node >= k or sums[leaf] <= sums[node]):
+                total = sums[leaf]
+                up[leaf] = k
+                leaf += 1
+            else:
+                total = sums[node]
+                up[node] = k
+                node += 1
+            if leaf < n and (node >= k or sums[leaf] <= sums[node]):
+                total += sums[leaf]
+                up[leaf] = k
+                leaf += 1
+            else:
+                total += sums[node]
+                up[node] = k
+                node += 1
             sums.append(total)
         deep = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             deep[k] = deep[up[k]] + 1
-        depth = {s: deep[k] for k, (_, s) in enumerate(weight)}
-        if max(depth.values()) <= most:
-            for s, n in depth.items():
-                lengths[s] = n
+        if max(deep[:n]) <= most:
+            lengths[used[order]] = deep[:n]
             return lengths
-        floor = max(2 * floor, int(counts[used].sum()) >> most, 1)
+        floor = max(2 * floor, int(own.sum()) >> most, 1)
 
 
 _RUNS = re.compile(rb"\0{3,138}|.", re.S)
+#: Code lengths and runs of zeros: symbol, extra value, its bits.
+_TOKENS = {bytes([k]): (k, 0, 0) for k in range(16)} | {b"\0" * n: (17, n - 3, 3) if n <= 10 else (18, n - 11, 7) for n in range(3, 139)}
 
 
-def write_prefix(out: BitWriter, lengths: np.ndarray) -> tuple[int, int] | None:
-    """Returns (extra value, its place in the last number put) if a long run of zeros came last."""
+def write_prefix(out: BitWriter, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist()
     if len(used) <= 2 and all(s < 256 for s in used):
         used = used or [0]
@@ -239,74 +246,20 @@ def write_prefix(out: BitWriter, lengths: np.ndarray) -> tuple[int, int] | None:
         out.put(1, 1)
         for s in used:
             out.put(s, 8)
-        return None
-    out.put(0, 1)
-    symbol, extra, size = [], [], []
-    for m in _RUNS.finditer(lengths.tobytes()):
-        run = m.end() - m.start()
-        kind, low, n = (int(m.group()[0]), run, 0) if run < 3 else (17, 3, 3) if run <= 10 else (18, 11, 7)
-        symbol.append(kind)
-        extra.append(run - low)
-        size.append(n)
-    tokens = np.array(symbol)
-    own = fitted_lengths(np.bincount(tokens, minlength=19), 7)
-    n = max(4, max(i for i, s in enumerate(_CODE_ORDER) if own[s]) + 1)
-    out.put(n - 4, 4)
-    for s in _CODE_ORDER[:n]:
-        out.put(int(own[s]), 3)
-    out.put(0, 1)
-    codes = canonical(own).astype(np.int64)
-    bits = own.astype(np.int64) if np.count_nonzero(own) > 1 else np.zeros(19, np.int64)
-    out.values += (np.where(bits[tokens] > 0, codes[tokens], 0) | np.array(extra) << bits[tokens]).tolist()
-    out.sizes += (bits[tokens] + size).tolist()
-    return (extra[-1], int(bits[18])) if symbol[-1] == 18 else None
-
-
-#: Payloads up to this size take one fixed code, if it has all their bytes.
-FIXED_BYTES = 16 << 10
-
-
-@cache
-def _fixed_lengths() -> np.ndarray:
-    """A code for Latin texts in UTF-8: rough shares of letters, signs and the bytes of letters with marks."""
-    w = np.zeros(256, np.int64)
-    w[32:127] = 3
-    for c, n in zip(" enthaiorsldcumgpbfvwyzqkxj", (1700, 1150, 900, 850, 620, 600, 600, 680, 600, 560, 380, 340, 330, 240, 200, 190, 130, 160, 70, 60, 130, 90, 50, 50, 40, 15, 12)):
-        w[ord(c)] = n
-    w[65:91] = 8
-    w[48:58] = 6
-    w[[0, 10]] = 30
-    w[[44, 46]] = (70, 120)
-    w[0x80:0xC0] = 3
-    w[0xA0:0xC0] = 9
-    w[[0xC2, 0xC3, 0xC4, 0xC5, 0xE2]] = (12, 250, 6, 6, 10)
-    return fitted_lengths(w)
-
-
-@cache
-def _fixed_header() -> tuple[int, int, tuple[list[int], list[int]]]:
-    """The fixed codes as one number, its bits, and the numbers and sizes put for it."""
-    out, one = BitWriter(), _fixed_lengths()
-    write_prefix(out, np.concatenate([one, np.zeros(24, np.uint8)]))
-    for _ in range(3):
-        write_prefix(out, one)
-    far = np.zeros(40, np.uint8)
-    far[0] = 1
-    write_prefix(out, far)
-    n = sum(out.sizes)
-    return int.from_bytes(out.bytes(), "little"), n, (out.values, out.sizes)
-
-
-@cache
-def _fixed_codes() -> list[Prefix]:
-    one, far = Prefix(_fixed_lengths()), np.zeros(40, np.uint8)
-    far[0] = 1
-    return [one, one, one, one, Prefix(far)]
-
-
-@cache
-def _fixed_table() -> tuple[np.ndarray, np.ndarray]:
-    return canonical(_fixed_lengths()), _fixed_lengths().astype(np.int64)
+        return
+    tokens = [_TOKENS[m] for m in _RUNS.findall(lengths.tobytes())]
+    counts = [0] * 19
+    for symbol, _, _ in tokens:
+        counts[symbol] += 1
+    own = fitted_lengths(np.array(counts), 7)
+    codes, bits = canonical(own).tolist(), own.tolist()
+    n = max(4, max(i for i, s in enumerate(_CODE_ORDER) if bits[s]) + 1)
+    out.values += [0, n - 4, *[bits[s] for s in _CODE_ORDER[:n]], 0]
+    out.sizes += [1, 4, *[3] * n, 1]
+    if sum(k > 0 for k in bits) == 1:
+        codes = bits = [0] * 19
+    out.values += [codes[s] | extra << bits[s] for s, extra, _ in tokens]
+    out.sizes += [bits[s] + size for s, _, size in tokens]
 
 
 # --- entropy-coded images --------------------------------------------------------------------
@@ -328,12 +281,6 @@ def _distance(code: int, width: int) -> int:
 
 class _Group:
     def __init__(self, bits: Bits, cache_size: int):
-        number, n, _ = _fixed_header()
-        a = bits.at
-        if not cache_size and a + n <= bits.size and int.from_bytes(bits.data[a >> 3 : (a + n >> 3) + 1], "little") >> (a & 7) & ((1 << n) - 1) == number:
-            self.codes = _fixed_codes()  # the same bits make the same codes
-            bits.at += n
-            return
         start = bits.at
         green = read_prefix(bits, 280 + cache_size)
         at, n = bits.at, bits.at - start
@@ -426,7 +373,9 @@ def _read_uniform(bits: Bits, width: int, height: int, group: _Group, cache_bits
     green, red, blue, alpha, far = group.codes
     total, at = width * height, 0
     out = np.zeros(total, np.uint32)
-    cache = np.zeros(1 << cache_bits, np.uint32) if cache_bits else None
+    cache = [0] * (1 << cache_bits) if cache_bits else None
+    sub = Bits(b"")
+    sub.data, sub.size = bits.data, bits.size
     if not any(c.width for c in (green, red, blue, alpha)) and green.symbol[0] < 256:  # no pixel takes a bit
         out[:] = int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(blue.symbol[0])
         return out
@@ -543,36 +492,49 @@ def _read_uniform(bits: Bits, width: int, height: int, group: _Group, cache_bits
             out[at : at + len(starts)] = pixels
             at += len(starts)
             continue
+        if cache is not None:
+            row = []  # the span's pixels, from `at` on
+            add = row.append
+            for x, h, s, k in zip(pixels.tolist(), _hashes(pixels, cache_bits).tolist(), g.tolist(), q.tolist()):
+                if s < 256:
+                    add(x)
+                    cache[h] = x
+                elif s >= 280:
+                    x = cache[s - 280]
+                    add(x)
+                    if not x:  # of a place that nothing was put in yet
+                        cache[0] = 0
+                else:
+                    sub.at = base - off + k
+                    n = _extra(s - 256, sub)
+                    d = _distance(_extra(far.read(sub), sub), width)
+                    first = len(row) - d
+                    if at + first < 0 or at + len(row) + n > total:
+                        raise Broken("a back-reference leaves the image")
+                    more = row[first : first + n] if first >= 0 else out[at + first : min(at, at + first + n)].tolist()
+                    if first < 0:
+                        more += row[: max(0, min(n, d) - len(more))]
+                    if d < n:
+                        more = (more * (n // d + 1))[:n]
+                    row += more
+                    for x in more:
+                        cache[(x * _CACHE_MUL & 0xFFFFFFFF) >> 32 - cache_bits] = x
+            out[at : at + len(row)] = row
+            at += len(row)
+            continue
         special, done = np.flatnonzero(g >= 256), 0
-        queue = at  # pixels before it are in the cache
-
-        def fill(upto: int) -> None:
-            nonlocal queue
-            if cache is not None and upto > queue:
-                new = out[queue:upto]
-                cache[_hashes(new, cache_bits)] = new  # the last of equal places stays
-                queue = upto
-
         for k in special.tolist():
             n = k - done
             out[at : at + n] = pixels[done:k]
             at += n
-            s = int(g[k])
-            if s >= 280:
-                fill(at)
-                out[at] = cache[s - 280]
-                at += 1
-            else:
-                sub = Bits(b"")
-                sub.data, sub.size, sub.at = bits.data, bits.size, base - off + int(q[k])
-                n = _extra(s - 256, sub)
-                _copy(out, at, n, _distance(_extra(far.read(sub), sub), width))
-                at += n
+            sub.at = base - off + int(q[k])
+            n = _extra(int(g[k]) - 256, sub)
+            _copy(out, at, n, _distance(_extra(far.read(sub), sub), width))
+            at += n
             done = k + 1
         n = len(starts) - done
         out[at : at + n] = pixels[done:]
         at += n
-        fill(at)
     return out
 
 
@@ -742,73 +704,377 @@ def _prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, np.where(v < 4, 0, v & ((1 << n) - 1)), np.where(v < 4, 0, n)
 
 
-def _literals(c: np.ndarray, codes: list, bits: list) -> tuple[np.ndarray, np.ndarray]:
-    """(values, sizes) of pixels: at most four codes of 12 bits, as two fields."""
-    ga, gn = codes[0][c[:, 1]].astype(np.uint64), bits[0][c[:, 1]]
-    ra, rn = codes[1][c[:, 2]].astype(np.uint64), bits[1][c[:, 2]]
-    ba, bn = codes[2][c[:, 0]].astype(np.uint64), bits[2][c[:, 0]]
-    aa, an = codes[3][c[:, 3]].astype(np.uint64), bits[3][c[:, 3]]
-    ga, ra, ba, aa = (np.where(n > 0, x, np.uint64(0)) for x, n in ((ga, gn), (ra, rn), (ba, bn), (aa, an)))
-    value = np.stack([ga | ra << gn.astype(np.uint64), ba | aa << bn.astype(np.uint64)], 1).reshape(-1)
-    size_of = np.stack([gn + rn, bn + an], 1).reshape(-1)
-    return value, size_of
+_PLACES = np.arange(4) * 256
+#: Bits that a used symbol takes in a code's own description, about.
+_USED_BITS = 3
+
+
+def _histogram(c: np.ndarray) -> np.ndarray:
+    """Counts of the four channels of pixels (n, 4)."""
+    return np.bincount((c + _PLACES).reshape(-1), minlength=1024).reshape(4, 256)
+
+
+def _price(counts: np.ndarray, used_bits: int = _USED_BITS) -> np.ndarray:
+    """Bits of what the last axis counts, by entropy, and of the code's description."""
+    x = counts.astype(np.float64)
+    total = x.sum(-1)
+    return total * np.log2(np.maximum(total, 1)) - (x * np.log2(np.maximum(x, 1))).sum(-1) + used_bits * np.count_nonzero(counts, -1)
+
+
+def _distinct(p: np.ndarray) -> np.ndarray:
+    s = np.sort(p, axis=None)
+    return s[np.flatnonzero(np.diff(s, prepend=s[0] ^ np.uint32(1)))]
+
+
+def _estimate(p: np.ndarray, new: np.ndarray | None = None) -> float:
+    """Bits of pixels: new ones (if given: these) by channel, the others by a cache of all."""
+    new = _distinct(p) if new is None else new
+    return float(_price(_histogram(_channels(new))).sum()) + (p.size - len(new)) * (1 + np.log2(len(new) + 1))
+
+
+def subtract_green(p: np.ndarray) -> np.ndarray:
+    c = _channels(p).copy()
+    c[..., 0] -= c[..., 1]
+    c[..., 2] -= c[..., 1]
+    return _pixels(c)
+
+
+def _tile_bits(height: int, width: int, least: int, tiles: int) -> int:
+    """The smallest tile of at least 2 ** least pixels a side of which an image has at most so many."""
+    tile = least
+    while tile < 9 and ((height - 1 >> tile) + 1) * ((width - 1 >> tile) + 1) > tiles:
+        tile += 1
+    return tile
+
+
+def forward_predictor(p: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """(what is left of the pixels, modes by tile): in each tile the mode of the 14 that leaves the lowest entropy."""
+    height, width = p.shape
+    c = _channels(p)
+    left = c.copy()
+    left[:, 1:] -= c[:, :-1]
+    left[1:, 0] -= c[:-1, 0]
+    left[0, 0, 3:] -= 255
+    across = (width - 1 >> tile) + 1
+    modes = np.zeros(((height - 1 >> tile) + 1, across), np.int64)
+    strip = max(1, (1 << 17 >> tile) // width) << tile
+    for y in range(0, height, strip):
+        a, b = max(1, y), min(height, y + strip)
+        if a >= b or width < 2:
+            continue
+        here, over = c[a:b].astype(np.int16), c[a - 1 : b - 1].astype(np.int16)
+        where = ((np.arange(a, b) >> tile) - (y >> tile))[:, None] * across + (np.arange(1, width) >> tile)
+        spread = where[..., None] * 1024 + _PLACES
+        sides = here[:, :-1], over[:, 1:], over[:, :-1], np.concatenate([over[:, 2:], here[:, :1]], 1)  # right above the last column is this row's first pixel
+        tiles = int(where.max()) + 1
+        best, chosen, rest = np.full(tiles, np.inf), np.zeros(tiles, np.int64), left[a:b, 1:]
+        for mode in range(14):
+            r = ((here[:, 1:] - _predict(mode, *sides)) & 255).astype(np.uint8)
+            bits = _price(np.bincount((spread + r).reshape(-1), minlength=1024 * tiles).reshape(tiles, 4, 256)).sum(-1)
+            better = bits < best
+            best[better], chosen[better] = bits[better], mode
+            mask = better[where]
+            rest[mask] = r[mask]
+        modes[y >> tile : (b - 1 >> tile) + 1].reshape(-1)[:] = chosen
+    return _pixels(left), modes
+
+
+def _take_colour(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Channels less what the multipliers of each pixel's tile tell."""
+    out, green, red = c.copy(), c[..., 1].astype(np.int8).astype(np.int32), c[..., 2].astype(np.int8).astype(np.int32)
+    out[..., 2] = (c[..., 2] - ((t[..., 0] * green) >> 5)) & 255
+    out[..., 0] = (c[..., 0] - ((t[..., 1] * green) >> 5) - ((t[..., 2] * red) >> 5)) & 255
+    return out
+
+
+def forward_colour(p: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(pixels, multipliers by tile as pixels) with least-squares slopes where they lower a tile's entropy; None where none do."""
+    height, width = p.shape
+    c = _channels(p)
+    if p.size <= 4096:  # in small images first whether correlation over all tiles could save more than the tiles take
+        x = c.reshape(-1, 4)[:, :3].astype(np.int8).astype(np.float32)
+        x -= x.mean(0)
+        m = (x.T @ x).tolist()
+        alike = (m[i][j] ** 2 / (m[i][i] * m[j][j]) if m[i][i] and m[j][j] else 0.0 for i, j in ((1, 2), (1, 0), (2, 0)))
+        if sum(-0.5 * p.size * np.log2(max(1 - r, 1e-6)) for r in alike) < 60:
+            return None
+    across = (width - 1 >> tile) + 1
+    where = (np.arange(height) >> tile)[:, None] * across + (np.arange(width) >> tile)
+    at = where.reshape(-1)
+    n = np.bincount(at)
+    signed = lambda x: x.reshape(-1).astype(np.int8).astype(np.float64)
+    blue, green, red = signed(c[..., 0]), signed(c[..., 1]), signed(c[..., 2])
+
+    def slope(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        sx, sy = np.bincount(at, x), np.bincount(at, y)
+        both, var = np.bincount(at, x * y) - sx * sy / n, np.bincount(at, x * x) - sx * sx / n
+        m = np.clip(np.rint(32 * both / np.maximum(var, 1)), -128, 127).astype(np.int32)
+        return np.where(np.abs(m) < 6, 0, m)  # such a slope takes under 0.03 bits off a pixel
+
+    to_red, to_blue = slope(green, red), slope(green, blue)
+    red_to_blue = slope(red, blue - to_blue[at] * green / 32)
+    t = np.stack([to_red, to_blue, red_to_blue], 1)
+    if not t.any():
+        return None
+    bits = lambda c, k: _price(np.bincount(at * 256 + c[..., k].reshape(-1), minlength=256 * len(n)).reshape(-1, 256))
+    new = _take_colour(c, t[where])
+    t[bits(new, 2) >= bits(c, 2), 0] = 0
+    t[bits(new, 0) >= bits(c, 0), 1:] = 0
+    if not t.any():
+        return None
+    tiles = np.zeros((len(n), 4), np.uint8)
+    tiles[:, :3], tiles[:, 3] = t.astype(np.int8).view(np.uint8), 255
+    return _pixels(_take_colour(c, t[where])), _pixels(tiles).reshape(-1, across)
+
+
+#: Earlier places of the same two pixels that are tried for a copy.
+_CHAIN = 8
+
+
+@cache
+def _near_codes(width: int) -> dict[int, int]:
+    """Distance: code of the near distances, the first of those that are alike."""
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(_NEAR)))}
+
+
+def _copies(p: np.ndarray, width: int, price: float) -> list[tuple[int, int, int]]:
+    """(place, length, distance code) of copies that are shorter than their pixels at this price each."""
+    total = len(p)
+    if total < 2:
+        return []
+    key = p[:-1].astype(np.uint64) << np.uint64(32) | p[1:]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    if not len(same):
+        return []
+    before = np.full(total, -1, np.int64)
+    before[order[same + 1]] = order[same]
+    del key, order, same
+    places, near, out, end = np.flatnonzero(before >= 0), _near_codes(width), [], 0
+    # lists are faster, and take ten times the memory
+    places, earlier, pixel = (x.tolist() if total < 1 << 16 else memoryview(np.ascontiguousarray(x)) for x in (places, before, p))
+    for i in places:
+        if i < end:
+            continue
+        j, tries, gain, most = earlier[i], _CHAIN, 0.0, min(4096, total - i)
+        while j >= 0 and tries and i - j <= (1 << 20) - 120:
+            n, soon = 2, min(most, 24)
+            while n < soon and pixel[j + n] == pixel[i + n]:
+                n += 1
+            if n == soon < most:
+                differ = p[j + n : j + most] != p[i + n : i + most]
+                n += int(differ.argmax()) if differ.any() else most - n
+            code = near.get(i - j) or i - j + 120
+            g = n * price - 8 - code.bit_length() - n.bit_length()
+            if g > gain:
+                gain, found = g, (i, n, code)
+            if n == most:
+                break
+            j, tries = earlier[j], tries - 1
+        if gain > 0:
+            out.append(found)
+            end = i + found[1]
+    return out
+
+
+def _cached(p: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in a colour cache of so many bits, whether the pixel is there)."""
+    h = _hashes(p, bits).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    hit, place, q = np.zeros(len(p), bool), h[order], p[order]
+    hit[order[1:]] = (place[1:] == place[:-1]) & (q[1:] == q[:-1])
+    return h, hit
+
+
+def _best_cache(p: np.ndarray, c: np.ndarray, alone: np.ndarray, lengths: np.ndarray) -> int:
+    """Bits of the colour cache with the lowest price, of three sizes and none (0)."""
+    own = c[alone]
+    if not len(own) or len(_distinct(p)) == len(p):
+        return 0
+
+    def price(bits: int) -> float:
+        green = np.zeros(280 + (1 << bits if bits else 0), np.int64)
+        green[256:280] = lengths
+        literal, more = own, 0.0
+        if bits:
+            h, hit = _cached(p, bits)
+            h, hit = h[alone], hit[alone]
+            if not hit.any():
+                return np.inf
+            green[280:] = np.bincount(h[hit], minlength=1 << bits)
+            literal, more = own[~hit], 6.0 * np.count_nonzero(green[280:])  # places are far between, and zeros are told too
+        each = _histogram(literal)
+        green[:256] = each[1]
+        return float(_price(green) + _price(each[[0, 2, 3]]).sum()) + more
+
+    tried = {k: price(k) for k in (0, 4, 7, 10) if not k or 1 << k <= 4 * len(p)}
+    return min(tried, key=tried.get)
+
+
+def _groups(counts: np.ndarray) -> np.ndarray:
+    """A group for each tile of which the symbols are counted: a group more as long as that is shorter in all."""
+    group, best = np.zeros(len(counts), np.int64), float(_price(counts.sum(0)[None]).sum())
+    x = counts.astype(np.float32)
+    while group.max() < 255:
+        n = int(group.max()) + 1
+        sums = np.stack([x[group == k].sum(0) for k in range(n)])
+        cost = lambda sums: x @ np.log2((sums.sum(1, keepdims=True) + 1) / (sums + 0.02)).T.astype(np.float32)
+        excess = cost(sums)[np.arange(len(x)), group] - (x * np.log2(np.maximum(x.sum(1, keepdims=True), 1) / np.maximum(x, 1))).sum(1)
+        sums = np.concatenate([sums, x[int(excess.argmax())][None]])
+        for _ in range(4):
+            new = cost(sums).argmin(1)
+            sums = np.stack([x[new == k].sum(0) for k in range(n + 1)])
+        _, new = np.unique(new, return_inverse=True)
+        price = sum(float(_price(counts[new == k].sum(0))) + 100 for k in range(int(new.max()) + 1)) + 2 * len(new)
+        if new.max() < n or price >= best:
+            return group
+        group, best = new, price
+    return group
+
+
+#: Images of fewer pixels have one group of codes: a second one's description is longer than what it could save.
+_GROUPED_PIXELS = 1024
+
+
+def _put_image(out: BitWriter, image: np.ndarray, main: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Writes all but the pixels themselves; returns (values, sizes) of these."""
+    height, width = image.shape
+    p = image.reshape(-1)
+    c = _channels(p)
+    found = np.array(_copies(p, width, float(_price(_histogram(c)).sum()) / len(p)), np.int64).reshape(-1, 3)
+    edge = np.zeros(len(p) + 1, np.int64)
+    edge[found[:, 0]] += 1
+    np.subtract.at(edge, found[:, 0] + found[:, 1], 1)
+    alone = np.cumsum(edge[:-1]) == 0
+    n_symbol, n_extra, n_size = _prefix_of(found[:, 1])
+    d_symbol, d_extra, d_size = _prefix_of(found[:, 2])
+    cache_bits = _best_cache(p, c, alone, np.bincount(n_symbol, minlength=24))
+    symbol = c[:, 1].astype(np.int64)
+    plain = alone.copy()
+    if cache_bits:
+        h, hit = _cached(p, cache_bits)
+        hit &= alone
+        symbol[hit], plain = 280 + h[hit], alone & ~hit
+    symbol[found[:, 0]] = 256 + n_symbol
+    starts = alone
+    starts[found[:, 0]] = True
+    at = np.flatnonzero(starts)
+    symbol, kept = symbol[at], c[at]
+    literal, copy = np.flatnonzero(plain[at]), np.searchsorted(at, found[:, 0])
+    greens = 280 + (1 << cache_bits if cache_bits else 0)
+
+    def counted(key: np.ndarray | int, n: int) -> np.ndarray:
+        """Counts of green, red, blue, alpha and distance symbols by key, side by side."""
+        key = np.broadcast_to(key, symbol.shape)
+        one = lambda key, s, size: np.bincount(key * size + s, minlength=n * size).reshape(n, size)
+        return np.concatenate([one(key, symbol, greens), *(one(key[literal], kept[literal, k].astype(np.int64), 256) for k in (2, 0, 3)), one(key[copy], d_symbol, 40)], 1)
+
+    out.put(1 if cache_bits else 0, 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    group, n_groups = np.zeros(len(at), np.int64), 1
+    if main:
+        tile = _tile_bits(height, width, 4, 256)
+        across = (width - 1 >> tile) + 1
+        of_tile = np.zeros(1, np.int64)
+        if len(p) >= _GROUPED_PIXELS:
+            where = (at // width >> tile) * across + (at % width >> tile)
+            of_tile = _groups(counted(where, ((height - 1 >> tile) + 1) * across))
+        n_groups = int(of_tile.max()) + 1
+        out.put(int(n_groups > 1), 1)
+        if n_groups > 1:
+            out.put(tile - 2, 3)
+            _put_whole(out, (of_tile << 8).astype(np.uint32).reshape(-1, across))
+            group = of_tile[where]
+    counts = counted(group, n_groups)
+    codes, bits = np.zeros(counts.shape, np.int64), np.zeros(counts.shape, np.int64)
+    ends = np.cumsum([0, greens, 256, 256, 256, 40])
+    for g in range(n_groups):
+        for a, b in zip(ends[:-1], ends[1:]):
+            lengths = fitted_lengths(counts[g, a:b])
+            write_prefix(out, lengths)
+            if np.count_nonzero(lengths) > 1:
+                codes[g, a:b], bits[g, a:b] = canonical(lengths), lengths
+    value, size = np.zeros((len(at), 2), np.int64), np.zeros((len(at), 2), np.int64)
+    value[:, 0], size[:, 0] = codes[group, symbol], bits[group, symbol]
+    g, (red, blue, alpha) = group[literal], (kept[literal, k] + e for k, e in zip((2, 0, 3), ends[1:4]))
+    value[literal, 0] |= codes[g, red] << size[literal, 0]
+    size[literal, 0] += bits[g, red]
+    value[literal, 1] = codes[g, blue] | codes[g, alpha] << bits[g, blue]
+    size[literal, 1] = bits[g, blue] + bits[g, alpha]
+    g, far = group[copy], d_symbol + ends[4]
+    value[copy, 0] |= n_extra << size[copy, 0]
+    size[copy, 0] += n_size
+    value[copy, 1] = codes[g, far] | d_extra << bits[g, far]
+    size[copy, 1] = bits[g, far] + d_size
+    return value.reshape(-1), size.reshape(-1)
+
+
+def _put_whole(out: BitWriter, image: np.ndarray) -> None:
+    """An image of a transform or of groups."""
+    value, size = _put_image(out, image, False)
+    out.values += value.tolist()
+    out.sizes += size.tolist()
+
+
+def _transform(out: BitWriter, p: np.ndarray) -> np.ndarray:
+    """Writes the transforms that make the image shortest by estimate; returns what is left of it."""
+    height, width = p.shape
+    colours = _distinct(p)
+    plain = _estimate(p, colours)
+    if len(colours) <= 256:
+        index = np.searchsorted(colours, p)
+        steps = _pixels(np.diff(_channels(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)))
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        wide = np.pad(index, ((0, 0), (0, -width % (1 << packed)))).reshape(height, -1, 1 << packed)
+        index = (wide << (np.arange(1 << packed) * (8 >> packed))).sum(-1)
+        by_palette = float(_price(np.bincount(index.reshape(-1), minlength=256)) + _price(_histogram(_channels(steps))).sum())
+    else:
+        by_palette = np.inf
+    best, now, todo = plain, p, []
+    green = subtract_green(p)
+    bits = _estimate(green)
+    if bits < best:
+        best, now, todo = bits, green, [(2, None, 0)]
+    # all modes by tile only where a single one is near: to the left, or above
+    above = _channels(now).copy()
+    above[1:] -= _channels(now)[:-1]
+    beside = np.diff(_channels(now.reshape(-1)), axis=0, prepend=np.zeros((1, 4), np.uint8))
+    tile = _tile_bits(height, width, 4, 2048)
+    if min(_estimate(_pixels(above)), _estimate(_pixels(beside))) < 1.05 * best:
+        rest, modes = forward_predictor(now, tile)
+        bits = _estimate(rest) + float(_price(np.bincount(modes.reshape(-1)))) + 30
+        if bits < best:
+            best, now = bits, rest
+            todo.append((0, (modes << 8).astype(np.uint32), tile))
+    coloured = forward_colour(now, tile)
+    if coloured:
+        bits = _estimate(coloured[0]) + _estimate(coloured[1]) + 60
+        if bits < best:
+            best, now = bits, coloured[0]
+            todo.append((1, coloured[1], tile))
+    if by_palette < best:
+        now, todo = (index << 8).astype(np.uint32), [(3, steps[None], len(colours))]
+    for kind, image, how in todo:
+        out.put(1 | kind << 1, 3)
+        if kind == 3:
+            out.put(how - 1, 8)
+        elif kind < 2:
+            out.put(how - 2, 3)
+        if image is not None:
+            _put_whole(out, image)
+    out.put(0, 1)
+    return now
 
 
 def encode_vp8l(p: np.ndarray) -> bytes:
-    """p: unsigned 32-bit ARGB (height, width).  One group of fitted codes; rows equal to the one above are copied."""
+    """p: unsigned 32-bit ARGB (height, width).  Transforms, copies, colour cache and groups of fitted codes, each where it makes the image shorter by estimate."""
     height, width = p.shape
     out = BitWriter()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         out.put(value, n)
-    same = np.zeros(height, bool)
-    same[1:] = (p[1:] == p[:-1]).all(1)
-    edge = np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))
-    first, runs = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
-    most = max(1, 4096 // width) if width <= 4096 else 0
-    if not most:
-        same[:], first, runs = False, first[:0], runs[:0]
-    parts = -(-runs // most) if most else runs
-    row = np.repeat(first, parts) + (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * most
-    length = np.minimum(np.repeat(first + runs, parts) - row, most) * width
-    c = _channels(p[~same].reshape(-1))
-    if not len(row) and 4 * len(c) <= FIXED_BYTES and _fixed_lengths()[c].all():
-        values, sizes = _fixed_header()[2]
-        out.values, out.sizes = out.values + values, out.sizes + sizes
-        own, wide = _fixed_table()
-        return out.bytes(_literals(c, [own] * 4, [wide] * 4))
-    symbol, extra, size = _prefix_of(length)
-    shared = np.bincount(c.reshape(-1), minlength=256)
-    one = fitted_lengths(shared)
-    if len(row):
-        green = fitted_lengths(np.concatenate([shared, np.zeros(24, np.int64)]) + np.bincount(symbol + 256, minlength=280))
-    else:
-        green = np.concatenate([one, np.zeros(24, np.uint8)])
-    far = np.zeros(40, np.uint8)
-    far[0] = 1
-    at = len(out.values)
-    last = write_prefix(out, green)
-    values, sizes = out.values[at:], out.sizes[at:]
-    if last and last[0] >= 24 and not len(row):  # the same but for 24 zeros fewer at the end
-        values[-1] -= 24 << last[1]
-    else:
-        at = len(out.values)
-        write_prefix(out, one)
-        values, sizes = out.values[at:], out.sizes[at:]
-        del out.values[at:], out.sizes[at:]
-    out.values += values * 3
-    out.sizes += sizes * 3
-    write_prefix(out, far)
-    lengths = [green, one, one, one]
-    own = canonical(one)
-    codes = [canonical(green), own, own, own]
-    bits = [np.where(np.count_nonzero(x) > 1, x, 0).astype(np.int64) for x in lengths]
-    value, size_of = _literals(c, codes, bits)
-    if len(row):  # distance code 1 is the pixel above: symbol 0, the only one, no bits
-        k = symbol + 256
-        back = (np.where(bits[0][k] > 0, codes[0][k], 0).astype(np.uint64) | extra.astype(np.uint64) << bits[0][k].astype(np.uint64), bits[0][k] + size)
-        before = np.searchsorted(np.flatnonzero(~same), row) * width * 2
-        value, size_of = np.insert(value, before, back[0]), np.insert(size_of, before, back[1])
-    return out.bytes((value, size_of))
+    return out.bytes(_put_image(out, _transform(out, p), True))
 
 
 def encode(p: np.ndarray) -> bytes:

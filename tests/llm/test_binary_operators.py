@@ -405,3 +405,78 @@ def test_media_frames(spark):
         payload, n = webp.payload_of(t)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert tuple(got[3])[1:] == tuple(got[9])[1:] and tuple(got[0])[1:] == tuple(got[1])[1:]
+
+
+# --- op10: what the encoder uses -------------------------------------------------------------
+
+
+def steps_of(monkeypatch, media):
+    """Names of the decoder's steps that a file needs, and its pixels."""
+    used = set()
+    with monkeypatch.context() as patch:
+        for name in ("inverse_predictor", "inverse_colour", "add_green", "inverse_palette", "_read_tiled", "_distance"):
+            patch.setattr(webp, name, lambda *a, name=name, inner=getattr(webp, name): (used.add(name), inner(*a))[1])
+        init = webp._Group.__init__
+        patch.setattr(webp._Group, "__init__", lambda self, bits, cache_size: (used.add("cache") if cache_size else None, init(self, bits, cache_size))[1])
+        pixels = webp.decode(media)
+    return used, pixels
+
+
+def test_encoder_uses_every_step(monkeypatch):
+    """Pictures made for each step of the format: the encoder takes it, and the pixels come back."""
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[:64, :64]
+    noise = rng.integers(0, 256, (64, 64))
+    signed = (noise ^ 128) - 128
+    full = np.full((64, 64), 255)
+    words = rng.integers(0, 256, (300, 4))
+    zones = np.where((y < 32)[..., None], rng.integers(0, 16, (64, 64, 4)), rng.integers(200, 216, (64, 64, 4)))
+    pictures = {
+        "inverse_predictor": np.stack([full, 3 * x + 2 * y, x + 5 * y + rng.integers(0, 2, (64, 64)), 2 * x + 3 * y], -1),
+        "inverse_colour": np.stack([full, (signed * 12 >> 5) + rng.integers(0, 2, (64, 64)), noise, (signed * -20 >> 5) + rng.integers(0, 2, (64, 64))], -1),
+        "add_green": np.stack([full, noise + rng.integers(0, 2, (64, 64)), noise, noise + rng.integers(0, 3, (64, 64))], -1),
+        "inverse_palette": rng.integers(0, 256, (5, 4))[rng.integers(0, 5, (64, 61))],
+        "cache": np.where(rng.random((64, 64, 1)) < 0.5, words[rng.integers(0, 40, (64, 64))], rng.integers(0, 256, (64, 64, 4))),
+        "_read_tiled": zones,
+        "_distance": np.concatenate([words[:150], words[20:90], words[:130], words[3:53]]).reshape(25, 16, 4),
+    }
+    for name, picture in pictures.items():
+        picture = (picture & 255).astype(np.uint8)
+        used, pixels = steps_of(monkeypatch, webp.encode(picture))
+        assert (pixels == picture).all() and name in used, (name, used)
+
+
+def test_small_payloads_have_fitted_codes():
+    """Codes are those of the payload's own bytes, channel by channel; copies need no whole row."""
+    size = lambda t: len(webp.store(webp.payload_of(t)[0]))
+    assert size("qzqjqxqw" * 8) < 60
+    rng = np.random.default_rng(6)
+    once = "".join(map(chr, rng.integers(97, 123, 4 * 150)))
+    assert size(once * 6) < size(once) + 60
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 40), st.integers(1, 40), st.integers(1, 256), st.integers(0, 2**32 - 1), st.integers(0, 3))
+def test_any_picture_comes_back(height, width, colours, seed, kind):
+    rng = np.random.default_rng(seed)
+    picture = rng.integers(0, colours, (height, width, 4)).astype(np.uint8)
+    if kind == 1:
+        picture = np.cumsum(np.cumsum(picture % 3, 0), 1).astype(np.uint8)
+    elif kind == 2:
+        picture = picture.reshape(-1, 4)[rng.integers(0, min(colours, height * width), (height, width))]
+    elif kind == 3:
+        picture[..., (1, 3)] = picture[..., 2:3] + rng.integers(0, 3, (height, width, 1))
+    assert (webp.decode(webp.encode(picture)) == picture).all()
+
+
+def test_copies_and_cache_over_spans(monkeypatch):
+    """Long images are read span by span: copies reach into spans before, overlap themselves, and fill the cache."""
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 256, (400, 4)).astype(np.uint8)
+    p = np.where(rng.random((3000, 1)) < 0.5, words[rng.integers(0, 40, 3000)], rng.integers(0, 256, (3000, 4))).astype(np.uint8)
+    picture = np.concatenate([p[:1500], p[100:700], np.tile(p[3:5], (60, 1)), p[1500:], p[1400:1680], np.tile(p[:3], (40, 1))]).reshape(-1, 20, 4)
+    media = webp.encode(picture)
+    assert {"cache", "_distance"} <= steps_of(monkeypatch, media)[0]
+    for span in (700, 5000, 1 << 19):
+        monkeypatch.setattr(webp, "_SPAN", span)
+        assert (webp.decode(media) == picture).all()
