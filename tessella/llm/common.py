@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import work_path, written
 
-__all__ = ["SharedFile", "file_frame", "filesystem", "fresh", "in_arrow", "partitions", "ship", "slices", "table", "texts_of", "work_path", "written"]
+__all__ = ["SharedFile", "file_frame", "filesystem", "fresh", "in_arrow", "kept", "partitions", "release", "ship", "slices", "table", "texts_of", "work_path", "written"]
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -50,10 +51,41 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._tessella = True
 
 
-def in_arrow(df: DataFrame, make, schema: str) -> DataFrame:
-    """mapInArrow with a function of (batches) -> batches, the package shipped first."""
-    ship(df.sparkSession)
-    return df.mapInArrow(make, schema)
+#: Bytes of one Arrow batch, about: Spark's own limit of 10,000 rows lets a batch of long texts take far more, in the executor and again in Python.
+BATCH_BYTES = 4 << 20
+#: What a worker keeps between tasks, by name.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """A worker's own dictionary, which lasts until a task that doesn't name it begins."""
+    return _KEPT.setdefault(name, {})
+
+
+def release(name: str = "") -> None:
+    """Gives back what the worker keeps, but for this."""
+    if any(held for other, held in _KEPT.items() if other != name):
+        for other, held in _KEPT.items():
+            if other != name:
+                held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def in_arrow(df: DataFrame, make, schema: str, keeps: str = "") -> DataFrame:
+    """mapInArrow with a function of (batches) -> batches, the package shipped first; keeps: the name of what the worker keeps for it."""
+    spark = df.sparkSession
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key).lower().rstrip("b")
+    if size.isdigit() and int(size) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
+        yield from make(batches)
+
+    return df.mapInArrow(started, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -136,4 +136,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, tiers: tuple[i
         packer.finish()
         yield from out()
 
-    return common.in_arrow(docs.select("doc_id", "text"), pack, SCHEMA)
+    return common.in_arrow(docs.select("doc_id", "text"), pack, SCHEMA, tokens.KEPT)

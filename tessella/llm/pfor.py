@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     rows = rows.where("doc_id IS NOT NULL").repartitionByRange(common.partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    found = sorted(common.in_arrow(rows, write, "shard int, uri string, documents long, ids long").collect())  # one row a file
+    found = sorted(common.in_arrow(rows, write, "shard int, uri string, documents long, ids long", tokens.KEPT).collect())  # one row a file
     base, files = 0, []
     for r in found:
         files.append((r.uri, base, r.documents, r.ids))

@@ -16,6 +16,10 @@ import sys
 import unicodedata
 from array import array
 
+from . import common
+
+#: The name under which a worker keeps its encoders.
+KEPT = "tokens"
 #: Chunks that a worker keeps at most, in two generations.
 MEMO_CHUNKS = 700_000
 _INSIDE = re.compile(r"\s \s|\s \Z")
@@ -23,7 +27,6 @@ _OTHER = re.compile(r"[^\S \n]")
 _ADJACENT = re.compile(r"\s\s|\s\Z|\A\s")
 #: Signs that split off whole behind letters; the apostrophe may begin a contraction.
 _TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-_LOADED: dict[str, Encoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -187,7 +190,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One for each worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    """One for each worker and file, kept for tasks that keep KEPT."""
+    loaded = common.kept(KEPT)
+    if path not in loaded:
+        loaded[path] = Encoder(path)
+    return loaded[path]
