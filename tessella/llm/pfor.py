@@ -29,11 +29,46 @@ FOOTER = struct.Struct("<QQQ8s")
 _HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2"), ("n", "<u2")])
 
 
+_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(x: np.ndarray) -> np.ndarray:
-    """Bit lengths of unsigned 32-bit numbers (exact in a double's exponent)."""
+    """Bit lengths of unsigned 32-bit numbers (longer ones are exact in a double's exponent)."""
+    if x.size and x.max() < 1 << 16:
+        return _LENGTHS[x]
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
+def _pack_low(own: np.ndarray, w: int) -> np.ndarray:
+    """The low w bits (1 to 16) of each number by row; eight numbers are w bytes, in two 64-bit words."""
+    x = (own & np.uint32((1 << w) - 1)).astype(np.uint64)
+    x = x[:, ::2] | x[:, 1::2] << np.uint64(w)
+    x = x[:, ::2] | x[:, 1::2] << np.uint64(2 * w)
+    low, high = x[:, ::2], x[:, 1::2]
+    words = np.empty((*low.shape, 2), "<u8")
+    if w == 16:
+        words[..., 0], words[..., 1] = low, high
+    else:
+        words[..., 0], words[..., 1] = low | high << np.uint64(4 * w), high >> np.uint64(64 - 4 * w)
+    return words.view(np.uint8).reshape(len(own), -1, 16)[:, :, :w].reshape(len(own), -1)
+
+
+def _unpack_low(body: np.ndarray, w: int) -> np.ndarray:
+    """What _pack_low packed, by row."""
+    eights = np.zeros((len(body), body.shape[1] // w, 16), np.uint8)
+    eights[:, :, :w] = body.reshape(len(body), -1, w)
+    words = eights.view("<u8").astype(np.uint64)
+    halves = np.empty_like(words)
+    if w == 16:
+        halves[:] = words
+    else:
+        halves[..., 0], halves[..., 1] = words[..., 0], words[..., 0] >> np.uint64(4 * w) | words[..., 1] << np.uint64(64 - 4 * w)
+    out, mask = np.empty((*halves.shape, 4), np.uint32), np.uint64((1 << w) - 1)
+    for k in range(4):
+        out[..., k] = halves >> np.uint64(k * w) & mask
+    return out.reshape(len(body), -1)
+
+
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
     """Each block of BLOCK ids (the last may be shorter) as bytes."""
     if not len(ids):
@@ -45,23 +80,28 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
     low = full.min(1)
     diff = full - low[:, None]
     bits = _bits(diff)
-    ordered = np.sort(bits, 1)
+    shorter = np.cumsum(np.bincount((np.arange(n)[:, None] * 33 + bits).reshape(-1), minlength=33 * n).reshape(n, 33), 1)  # ids of at most so many bits
     cost, width = None, None
     for p in PERCENTILES:
-        w = ordered[:, max(0, -(-p * BLOCK // 100) - 1)]
-        c = w.astype(np.int32) * (BLOCK // 8) + 5 * (bits > w[:, None]).sum(1, dtype=np.int32)
+        w = (shorter < -(-p * BLOCK // 100)).sum(1)
+        c = w * (BLOCK // 8) + 5 * (BLOCK - shorter[np.arange(n), w])
         cost, width = (c, w) if cost is None else (np.minimum(cost, c), np.where(c < cost, w, width))
     out: list[bytes] = [b""] * n
     above = bits > width[:, None]
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        own = diff[rows].astype("<u4" if w > 16 else "<u2")  # the low bits are all that is packed
-        planes = np.unpackbits(own.view(np.uint8).reshape(len(rows), BLOCK, -1), axis=2, bitorder="little")[:, :, : int(w)]
-        body = np.packbits(planes.reshape(len(rows), BLOCK * int(w)), axis=1, bitorder="little")
-        for k, r in enumerate(rows):
-            at = np.flatnonzero(above[r])
-            head = struct.pack("<IBHH", low[r], w, len(at), BLOCK if r < n - 1 else len(ids) - (n - 1) * BLOCK)
-            out[r] = head + body[k].tobytes() + (at.astype(np.uint8).tobytes() + diff[r, at].astype("<u4").tobytes() if len(at) else b"")
+        if 0 < w <= 16:
+            body = _pack_low(diff[rows], w)
+        else:
+            planes = np.unpackbits(diff[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
+            body = np.packbits(planes.reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
+        body, own = body.tobytes(), above[rows]
+        at, patch, end = np.nonzero(own)[1].astype(np.uint8).tobytes(), diff[rows][own].astype("<u4").tobytes(), 0
+        size = BLOCK * w // 8
+        for k, (r, first, many) in enumerate(zip(rows.tolist(), low[rows].tolist(), np.count_nonzero(own, axis=1).tolist())):
+            head = struct.pack("<IBHH", first, w, many, BLOCK if r < n - 1 else len(ids) - (n - 1) * BLOCK)
+            start, end = end, end + many
+            out[r] = head + body[k * size : (k + 1) * size] + at[start:end] + patch[4 * start : 4 * end]
     return out
 
 
@@ -74,12 +114,14 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     out = np.empty((len(starts), BLOCK), np.uint32)
     for w in np.unique(head["width"]):
         rows, size = np.flatnonzero(head["width"] == w), BLOCK * int(w) // 8
-        if w:
+        if 0 < w <= 16:
+            out[rows] = _unpack_low(raw[(starts[rows] + _HEAD.itemsize)[:, None] + np.arange(size)], int(w))
+        elif w:
             body = raw[(starts[rows] + _HEAD.itemsize)[:, None] + np.arange(size)]
             planes = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            full = np.zeros((len(rows), BLOCK, 32 if w > 16 else 16), np.uint8)
+            full = np.zeros((len(rows), BLOCK, 32), np.uint8)
             full[:, :, : int(w)] = planes
-            out[rows] = np.packbits(full, axis=2, bitorder="little").view("<u4" if w > 16 else "<u2")[:, :, 0]
+            out[rows] = np.packbits(full, axis=2, bitorder="little").view("<u4")[:, :, 0]
         else:
             out[rows] = 0
     for r in np.flatnonzero(head["exceptions"]):

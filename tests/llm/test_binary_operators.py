@@ -54,6 +54,22 @@ def test_blocks_round_trip(ids, base):
     assert (pfor.unpack_blocks(b"".join(packed), starts.astype(np.int64)) == x).all()
 
 
+def test_low_bits_against_bit_strings():
+    """Words of eight numbers hold, for each width, what writing bit after bit gives; blocks with outliers come back."""
+    rng = np.random.default_rng(8)
+    for w in range(1, 17):
+        x = rng.integers(0, 1 << 32, (3, pfor.BLOCK), dtype=np.uint64).astype(np.uint32)  # higher bits are left out
+        slow = [int("".join(format(v & (1 << w) - 1, f"0{w}b") for v in reversed(row)), 2).to_bytes(pfor.BLOCK * w // 8, "little") for row in x.tolist()]
+        packed = pfor._pack_low(x, w)
+        assert [row.tobytes() for row in packed] == slow
+        assert (pfor._unpack_low(packed, w) == x & np.uint32((1 << w) - 1)).all()
+    for w in range(33):
+        x = rng.integers(0, 1 << w, 1000, dtype=np.uint64).astype(np.uint32)
+        x[::90] = 2**32 - 1
+        blocks = pfor.pack_blocks(x)
+        assert (pfor.unpack_blocks(b"".join(blocks), np.cumsum([0, *map(len, blocks)])[:-1]) == x).all()
+
+
 def test_outliers_are_exceptions():
     x = np.arange(256, dtype=np.uint32) % 8
     x[5] = 2**30
