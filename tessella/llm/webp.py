@@ -3,8 +3,9 @@
 The decoder takes the whole lossless format: simple and extended containers, prefix codes (simple and
 normal, with meta codes by tile), back-references with the 120 near distances, the colour cache, and
 the predictor, cross-colour, subtract-green and palette transforms.  Where one prefix-code group
-serves a whole image, codes are decoded for all bit positions at once with numpy and then chained;
-images with several groups are decoded pixel by pixel.
+serves a longer image, codes are decoded for all bit positions at once with numpy and then chained;
+short images and those with several groups are decoded pixel by pixel.  Texts come in batches, and
+`webp_many` writes and reads the short and plain ones together.
 
 `media` stores texts: UTF-8 padded with zero bytes to a positive multiple of 64, four bytes to a
 pixel (alpha, red, green, blue), 16 pixels to a row, wider for very long texts.  The encoder uses all
@@ -21,6 +22,7 @@ format's largest image) raises ValueError.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -133,13 +135,18 @@ class Prefix:
         self.last_run = 0
 
     def read(self, bits: Bits) -> int:
-        if self.slow is None:
-            self.slow = (self.symbol.tolist(), self.length.tolist())
-        v = bits.peek(self.width)
-        bits.at += self.slow[1][v]
+        table, mask = self.both()
+        e = table[bits.peek(self.width) & mask]
+        bits.at += e & 15
         if bits.at > bits.size:
             raise Broken("the data end early")
-        return self.slow[0][v]
+        return e >> 4
+
+    def both(self) -> tuple[list[int], int]:
+        """symbol * 16 + length by the next bits, and their mask."""
+        if self.slow is None:
+            self.slow = ((self.symbol.astype(np.int32) << 4 | self.length).tolist(), (1 << self.width) - 1)
+        return self.slow
 
 
 def read_prefix(bits: Bits, alphabet: int) -> Prefix:
@@ -320,6 +327,8 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = (which >> 8 & 0xFFFF).astype(np.int64)
         n = int(which.max()) + 1
     groups = [_Group(bits, 1 << cache_bits if cache_bits else 0) for _ in range(n)]
+    if n == 1 and width * height < 2048:  # less than what the steps for all bit positions take
+        return _read_tiled(bits, width, height, groups, np.zeros(1, np.int64), 14, cache_bits)
     if n == 1:
         return _read_uniform(bits, width, height, groups[0], cache_bits)
     return _read_tiled(bits, width, height, groups, which, tile, cache_bits)
@@ -338,30 +347,97 @@ def _hashes(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
     return (pixels * np.uint32(_CACHE_MUL)) >> np.uint32(32 - cache_bits)
 
 
+def _again(row: list[int], d: int, n: int, total: int, cache: list[int] | None, cache_bits: int) -> None:
+    """Appends n pixels from d places before."""
+    at = len(row)
+    if d > at or at + n > total:
+        raise Broken("a back-reference leaves the image")
+    more = row[at - d : at - d + n]
+    if d < n:
+        more = (more * (n // d + 1))[:n]
+    row += more
+    if cache is not None:
+        for x in more:
+            cache[(x * _CACHE_MUL & 0xFFFFFFFF) >> 32 - cache_bits] = x
+
+
+def _read_on(bits: Bits, codes: list[tuple[list[int], int]], row: list[int], stop: int, total: int, width: int, cache: list[int] | None, cache_bits: int) -> None:
+    """Appends pixels one by one until there are `stop`; codes: symbol * 16 + length over the next bits, and the mask of these."""
+    (green, in_green), (red, in_red), (blue, in_blue), (alpha, in_alpha), (far, in_far) = codes
+    data, number, sub = bits.data, int.from_bytes, Bits(b"")
+    sub.data, sub.size = data, bits.size
+    k, at, add, shift = bits.at >> 3, len(row), row.append, 32 - cache_bits
+    acc, n = number(data[k : k + 32], "little") >> (bits.at & 7), 256 - (bits.at & 7)
+    k += 32
+    while at < stop:
+        if n < 64:  # a pixel has at most 60 bits
+            if 8 * k - n > bits.size:
+                raise Broken("the data end early")
+            acc |= number(data[k : k + 32], "little") << n
+            k += 32
+            n += 256
+        e = green[acc & in_green]
+        x, size = e >> 4, e & 15
+        acc >>= size
+        n -= size
+        if x < 256:
+            e = red[acc & in_red]
+            size = e & 15
+            acc >>= size
+            n -= size
+            f = blue[acc & in_blue]
+            size = f & 15
+            acc >>= size
+            n -= size
+            g = alpha[acc & in_alpha]
+            size = g & 15
+            acc >>= size
+            n -= size
+            x = g >> 4 << 24 | e >> 4 << 16 | x << 8 | f >> 4
+            add(x)
+            at += 1
+            if cache is not None:
+                cache[(x * _CACHE_MUL & 0xFFFFFFFF) >> shift] = x
+        elif x >= 280:
+            x = cache[x - 280]
+            add(x)
+            at += 1
+            cache[(x * _CACHE_MUL & 0xFFFFFFFF) >> shift] = x
+        else:
+            sub.at = 8 * k - n
+            run = _extra(x - 256, sub)
+            e = far[sub.peek(15) & in_far]
+            sub.at += e & 15
+            d = _distance(_extra(e >> 4, sub), width)
+            _again(row, d, run, total, cache, cache_bits)
+            at += run
+            k, n = sub.at >> 3, -(sub.at & 7)
+            acc = number(data[k : k + 32], "little") >> -n
+            k += 32
+            n += 256
+    bits.at = 8 * k - n
+    if bits.at > bits.size:
+        raise Broken("the data end early")
+
+
 def _read_tiled(bits: Bits, width: int, height: int, groups: list[_Group], which: np.ndarray, tile: int, cache_bits: int) -> np.ndarray:
     total, at = width * height, 0
-    out = np.zeros(total, np.uint32)
+    out, row = np.zeros(total, np.uint32), []
     cache = [0] * (1 << cache_bits) if cache_bits else None
     across = (width + (1 << tile) - 1) >> tile
-    while at < total:
-        y, x = divmod(at, width)
-        green, red, blue, alpha, far = groups[int(which[(y >> tile) * across + (x >> tile)])].codes
-        s = green.read(bits)
-        if s < 256:
-            r = red.read(bits)
-            b = blue.read(bits)
-            out[at] = alpha.read(bits) << 24 | r << 16 | s << 8 | b
-            n = 1
-        elif s < 280:
-            n = _extra(s - 256, bits)
-            _copy(out, at, n, _distance(_extra(far.read(bits), bits), width))
-        else:
-            out[at] = cache[s - 280]
-            n = 1
-        if cache is not None:
-            for p in out[at : at + n].tolist():
-                cache[(p * _CACHE_MUL & 0xFFFFFFFF) >> 32 - cache_bits] = p
-        at += n
+    codes = [[c.both() for c in g.codes] for g in groups]
+    wide = across == 1  # then a tile's pixels are one run
+    keep = 1 << 22  # pixels held as numbers: at most so many, and a copy's distance more
+    while at + len(row) < total:
+        y, x = divmod(at + len(row), width)
+        stop = min(total, (((y >> tile) + 1) << tile) * width if wide else y * width + min(width, ((x >> tile) + 1) << tile))
+        _read_on(bits, codes[int(which[(y >> tile) * across + (x >> tile)])], row, stop - at, total - at, width, cache, cache_bits)
+        if len(row) > keep:  # no distance is over 2 ** 20
+            n = len(row) - (1 << 20)
+            out[at : at + n] = row[:n]
+            del row[:n]
+            at += n
+    out[at:] = row
     return out
 
 
@@ -851,6 +927,12 @@ def _copies(p: np.ndarray, width: int, price: float) -> list[tuple[int, int, int
     before = np.full(total, -1, np.int64)
     before[order[same + 1]] = order[same]
     del key, order, same
+    return _chosen(before, p, width, price)
+
+
+def _chosen(before: np.ndarray, p: np.ndarray, width: int, price: float) -> list[tuple[int, int, int]]:
+    """The copies of `_copies`; before: the last place of the same two pixels, or -1."""
+    total = len(p)
     places, near, out, end = np.flatnonzero(before >= 0), _near_codes(width), [], 0
     # lists are faster, and take ten times the memory
     places, earlier, pixel = (x.tolist() if total < 1 << 16 else memoryview(np.ascontiguousarray(x)) for x in (places, before, p))
@@ -1077,13 +1159,17 @@ def encode_vp8l(p: np.ndarray) -> bytes:
     return out.bytes(_put_image(out, _transform(out, p), True))
 
 
-def encode(p: np.ndarray) -> bytes:
-    """A WebP file of pixels (height, width, 4): alpha, red, green, blue."""
-    body = encode_vp8l(_pixels(p[..., ::-1].astype(np.uint8)))
+def riff(body: bytes) -> bytes:
+    """The file of an image's own bytes."""
     pad = b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
 
 
+def encode(p: np.ndarray) -> bytes:
+    """A WebP file of pixels (height, width, 4): alpha, red, green, blue."""
+    return riff(encode_vp8l(_pixels(p[..., ::-1].astype(np.uint8))))
+
+
 # --- texts -----------------------------------------------------------------------------------
 
 
@@ -1105,34 +1191,41 @@ def load(media: bytes, payload_bytes: int) -> bytes:
     return decode(media).tobytes()[:payload_bytes]
 
 
+_POWERS = np.stack([np.arange(256), np.arange(256) ** 2])
+
+
 def _feature(b: np.ndarray, shape: str) -> str:
     """Size, mean, deviation, byte entropy, and a 64-bit hash of which 64th parts are above the mean."""
-    counts = np.bincount(b, minlength=256)
-    share = counts[counts > 0] / len(b)
-    parts = b.reshape(64, -1).sum(1, dtype=np.int64) * 64 > b.sum(dtype=np.int64)
-    return f"{shape};{b.mean():.4f};{b.std():.4f};{-(share * np.log2(share)).sum():.4f};{np.packbits(parts).tobytes().hex()}"
+    counts, n = np.bincount(b, minlength=256), len(b)
+    total, squares = (int(x) for x in _POWERS @ counts)
+    share = counts[counts > 0] / n
+    parts = b.reshape(64, -1).sum(1, dtype=np.int64) * 64 > total
+    return f"{shape};{total / n:.4f};{math.sqrt(n * squares - total * total) / n:.4f};{-(share * np.log2(share)).sum():.4f};{np.packbits(parts).tobytes().hex()}"
 
 
 def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, media."""
+    from . import webp_many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, size=4 << 20):
             found = [payload_of(t) for t in common.texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n in found], pa.int64()), pa.array([len(p) for p, _ in found], pa.int64()), pa.array([store(p) for p, _ in found], pa.binary())], ["doc_id", "n_bytes", "payload_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n in found], pa.int64()), pa.array([len(p) for p, _ in found], pa.int64()), pa.array(webp_many.store([p for p, _ in found]), pa.binary())], ["doc_id", "n_bytes", "payload_bytes", "media"])
 
     return common.in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
     """What op10 returns, from media as read back."""
+    from . import webp_many
+
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, "media", size=4 << 20):
+        for b in common.slices(batches, "media", rows=4000, size=4 << 20):
             cols: list[list] = [[] for _ in range(6)]
-            for m, n in zip(b.column("media").to_pylist(), b.column("payload_bytes").to_pylist()):
-                p = decode(m)
+            files = b.column("media").to_pylist()
+            for m, n, p in zip(files, b.column("payload_bytes").to_pylist(), webp_many.load(files)):
                 raw = p.tobytes()[:n]
                 for c, x in zip(cols, (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(m), hashlib.sha256(m).hexdigest(), _feature(np.frombuffer(raw, np.uint8), f"{p.shape[1]}x{p.shape[0]}"))):
                     c.append(x)
