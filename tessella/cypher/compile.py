@@ -622,11 +622,96 @@ class Compiler:
     def match_patterns(self, patterns: tuple, outer: Compiler | None = None) -> None:
         self.late = []
         self.outer = outer
-        for p in patterns:
+        for p in self._join_cycles(patterns) if self.unit and not self.scope else patterns:
             self._path(p)
 
     outer: Compiler | None = None
 
+    def _join_cycles(self, patterns: tuple) -> list[t.PathPattern]:
+        """Joins the patterns that close a cycle; the other paths, which are left to walk.
+
+        Walked as written, a cycle multiplies rows until its last relationship finds both ends known.  So relationships of
+        which a node has one at most, as LIVES_IN of a customer, are joined to one that reaches this node, which adds no
+        rows, and the pieces that come of it are joined by all nodes that they share."""
+        named = [replace(p, parts=tuple(replace(x, var=x.var or f" {self.fresh()}") for x in p.parts)) for p in patterns]
+        groups: list[tuple[set, list]] = []  # connected nodes, places of their paths
+        for i, p in enumerate(named):
+            names, places = {x.var for x in p.parts[::2]}, [i]
+            for g in [g for g in groups if g[0] & names]:
+                groups.remove(g)
+                names, places = names | g[0], g[1] + places
+            groups.append((names, places))
+        done = set()
+        for names, places in groups:
+            if pieces := self._pieces(names, [named[i] for i in places]):
+                self._join_pieces(pieces)
+                done |= {i for i in places if len(named[i].parts) > 1}
+        return [p for i, p in enumerate(named) if i not in done]
+
+    def _pieces(self, names: set[str], paths: list[t.PathPattern]) -> list[list[t.PathPattern]]:
+        """Connected paths as groups of single relationships, none of which adds rows to the first of its group; empty where they are walked as written."""
+        rels = [x for p in paths for x in p.parts[1::2]]
+        if len(rels) < max(3, len(names)) or len({r.var for r in rels} - names) < len(rels):
+            return []
+        if any(p.var or p.shortest for p in paths) or any(r.hops is not None for r in rels) or any(names_in(x.props) for p in paths for x in p.parts):
+            return []
+        labels: dict[str, tuple] = {}
+        for x in (x for p in paths for x in p.parts[::2]):
+            labels[x.var] = tuple(dict.fromkeys((*labels.get(x.var, ()), *x.labels)))
+        hops = [tuple(x if isinstance(x, t.RelPattern) else replace(x, labels=labels[x.var]) for x in p.parts[k : k + 3]) for p in paths for k in range(0, len(p.parts) - 1, 2)]
+        single = {k: ends for k, hop in enumerate(hops) if (ends := self._single(*hop))}
+        roots, pieces = [k for k in range(len(hops)) if k not in single] if single else [], []
+        while roots or single:
+            reached = {b for a, b in single.values() if a != b}
+            root = roots.pop(0) if roots else next((k for k, (a, _) in single.items() if a not in reached), next(iter(single)))
+            single.pop(root, None)
+            piece, known = [hops[root]], {x.var for x in hops[root][::2]}
+            while (k := next((k for k, (a, _) in single.items() if a in known), None)) is not None:
+                known |= set(single.pop(k))
+                piece.append(hops[k])
+            pieces.append([t.PathPattern(None, None, hop) for hop in piece])
+        return pieces
+
+    def _single(self, x: t.NodePattern, r: t.RelPattern, y: t.NodePattern) -> tuple[str, str] | None:
+        """(node that has one such relationship at most, the other end)."""
+        found = self._candidates(r, self._tables(x), y)
+        if len(found) != 1 or not found[0][0].carried:
+            return None
+        table, forward = found[0]
+        return (x.var, y.var) if (table.carried[0][0] == "src") == forward else (y.var, x.var)
+
+    def _join_pieces(self, pieces: list[list[t.PathPattern]]) -> None:
+        made = []
+        for piece in pieces:
+            sub = self.child()
+            for p in piece:
+                sub._path(p)
+            made.append(sub)
+        whole = made.pop(0)
+        while made:
+            other = max(made, key=lambda x: len(x.scope.keys() & whole.scope.keys()))
+            made.remove(other)
+            whole._join(other)
+        self._join(whole)
+
+    def _join(self, other: Compiler) -> None:
+        """The rows of both that agree in the nodes which both have, and whose relationships differ."""
+        shared = sorted(self.scope.keys() & other.scope.keys())
+        on = F.lit(True)
+        for n in shared:
+            on = on & (c(self.scope[n].id) == c(other.scope[n].id))
+        self.frame = other.frame if self.unit else self.frame.join(other.frame, on) if shared else self.frame.crossJoin(other.frame)
+        self.unit = False
+        for _, column, types in self.used:
+            for _, key, more in other.used:
+                if types & more:
+                    self.frame = self.frame.where(c(column) != c(key))
+        self.used = self.used + other.used
+        for n in shared:
+            a, b = self.scope[n], other.scope[n]
+            self.scope[n] = a if a.props is not None else b if b.props is not None else replace(a, tables=tuple(x for x in a.tables if x in b.tables))
+        self.scope = other.scope | self.scope
+
     def _props(self, b: NodeB | RelB, name: str, props: Any) -> None:
         """Inline properties as equality filters; those over outer variables wait for the join."""
         if props is None:
