@@ -22,8 +22,6 @@ from .compile import Compiler, NodeB, RelB, ValB, c
 from .errors import CypherError
 from .parser import parse
 
-MOST_DELETED = 100_000
-
 
 def _settled_id(n: Column) -> Column:
     """Created things take the last slot, which no registered table has."""
@@ -374,8 +372,7 @@ class Updater(Compiler):
             return written(out.where("_k IS NOT NULL").distinct(), "deleted")
 
         gone_nodes, gone_rels = gathered(nodes), gathered(rels)
-        targets = sum(x.count() for x in (gone_nodes, gone_rels) if x is not None)
-        if targets > self.options.get("max_deleted", MOST_DELETED):
+        if (most := self.options.get("max_deleted")) is not None and (targets := sum(x.count() for x in (gone_nodes, gone_rels) if x is not None)) > most:
             raise CypherError("DeleteLimit", f"{targets} targets", "execution")
         places = set(range(len(self.graph.nodes))) if own is None else own
         labels = {x for i in places for x in self.graph.nodes[i].maybe}

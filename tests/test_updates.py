@@ -145,3 +145,16 @@ def test_command_line(spark, tmp_path, capsys):
     b.commit()
     with pytest.raises(ValueError):
         b.commit()
+
+
+def test_delete_takes_any_number_of_targets(spark):
+    nodes = spark.range(2).selectExpr("id", "array('N') AS labels")
+    rels = spark.range(100_010).selectExpr("id AS rid", "'R' AS type", "0L AS src", "1L AS dst")
+    g = PropertyGraph.from_frames(spark, nodes, rels)
+    text = "MATCH (:N)-[r:R]->() WHERE id(r) >= 9 DELETE r"
+    less, _, stats = g.write(text)
+    assert stats["relationships_deleted"] == 100_001 and rows(less, "MATCH ()-[r:R]->() RETURN count(r) AS n, max(id(r)) AS k") == [(9, 8)]
+    none, _, stats = g.write("MATCH (a)-[r]->(b) DELETE r, a, b")
+    assert (stats["nodes_deleted"], stats["relationships_deleted"]) == (2, 100_010) and rows(none, "MATCH (n) RETURN count(*) AS n") == [(0,)]
+    with pytest.raises(CypherError, match="DeleteLimit"):
+        g.write(text, max_deleted=100_000)
